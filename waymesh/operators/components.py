@@ -36,10 +36,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         chosen = pairs.groupBy("id").agg(F.min(draw("other")).alias("best")).select(
             "id", F.least("best", draw("id")).getField("id").alias("to")
         )
-        hook = store(chosen).df
         # one jump along the hooks; what is left of a chain contracts in the next round
-        over = hook.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
-        hook = store(hook.join(over, "to").select("id", F.col("beyond").alias("to"))).df
+        over = chosen.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        hook = store(chosen.join(over, "to").select("id", F.col("beyond").alias("to"))).df
         hooks.append(hook)
         ends_u = hook.select(F.col("id").alias("u"), F.col("to").alias("nu"))
         ends_v = hook.select(F.col("id").alias("v"), F.col("to").alias("nv"))

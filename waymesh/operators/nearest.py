@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.geo import chord_to_metres, half_chord
 from waymesh.operators.cleaning import located
-from waymesh.runtime import store
+from waymesh.runtime import store, task_count
 
 FAN_OUT = 16
 COARSEST = 16.0
@@ -39,25 +39,25 @@ def _cell(level: int) -> dict[str, Column]:
     }
 
 
-def _bounds(cx: Column, cy: Column, level: int) -> tuple[Column, Column]:
-    """Smallest and largest half chord between ``(lat, lon)`` and a point of the cell."""
+def _bounds(level: int) -> str:
+    """SQL for a cell ``c`` with its smallest and largest half chord to ``(lat, lon)``."""
     size = _size(level)
     half = size / 2
-    mid_lat = cy * size - 90.0 + half
-    mid_lon = cx * size - 180.0 + half
-    dlat = F.abs(F.col("lat") - mid_lat)
-    dlon = F.abs(F.pmod(F.col("lon") - mid_lon + 180.0, F.lit(360.0)) - 180.0)
-    least_cos = F.cos(F.radians(F.least(F.lit(90.0), F.abs(mid_lat) + half)))
-    most_cos = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(mid_lat) - half)))
-    own_cos = F.cos(F.radians(F.col("lat")))
+    mid_lat = f"(c.cy * {size!r}D - 90.0D + {half!r}D)"
+    dlat = f"abs(lat - {mid_lat})"
+    dlon = f"abs(pmod(lon - (c.cx * {size!r}D - 180.0D + {half!r}D) + 180.0D, 360.0D) - 180.0D)"
+    least_cos = f"cos(radians(least(90.0D, abs({mid_lat}) + {half!r}D)))"
+    most_cos = f"cos(radians(greatest(0.0D, abs({mid_lat}) - {half!r}D)))"
 
-    def chord(a: Column, b: Column, other_cos: Column) -> Column:
-        sa, sb = F.sin(F.radians(a) / 2), F.sin(F.radians(b) / 2)
-        return sa * sa + own_cos * other_cos * sb * sb
+    def chord(a: str, b: str, other_cos: str) -> str:
+        return f"power(sin(radians({a}) / 2), 2) + cos(radians(lat)) * {other_cos} * power(sin(radians({b}) / 2), 2)"
 
-    near = chord(F.greatest(F.lit(0.0), dlat - half), F.greatest(F.lit(0.0), dlon - half), least_cos)
-    far = chord(F.least(F.lit(180.0), dlat + half), F.least(F.lit(180.0), dlon + half), most_cos)
-    return near, far
+    near = chord(f"greatest(0.0D, {dlat} - {half!r}D)", f"greatest(0.0D, {dlon} - {half!r}D)", least_cos)
+    far = chord(f"least(180.0D, {dlat} + {half!r}D)", f"least(180.0D, {dlon} + {half!r}D)", most_cos)
+    return f"named_struct('near', {near}, 'far', {far}, 'cx', c.cx, 'cy', c.cy)"
+
+
+_SLACK = "* (1 + 1e-9D) + 1e-18D"  # rounding must never drop the right cell
 
 
 @dataclass(frozen=True)
@@ -73,11 +73,11 @@ def index_nodes(nodes: DataFrame, per_cell: int = NODES_PER_CELL) -> NodeIndex:
     # of several nodes at one place the smallest id answers
     left = store(located(nodes).groupBy("lat", "lon").agg(F.min("id").alias("id"))).df
     leaves: list[DataFrame] = []
-    for level in range(FINEST_LEVEL + 1):
+    for level in range(1, FINEST_LEVEL + 1):
         placed = left.withColumns(_cell(level))
         counts = store(
             placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")),
-            full=F.sum((F.col("n") > per_cell).cast("int")),
+            full=F.count_if(F.col("n") > per_cell),
         )
         last = level == FINEST_LEVEL or not counts.stats["full"]
         roomy = counts.df if last else counts.df.filter(F.col("n") <= per_cell)
@@ -89,41 +89,33 @@ def index_nodes(nodes: DataFrame, per_cell: int = NODES_PER_CELL) -> NodeIndex:
         if last:
             break
         full = counts.df.filter(F.col("n") > per_cell).select("cx", "cy")
-        left = store(placed.join(full, ["cx", "cy"], "left_semi").select("lat", "lon", "id")).df
+        left = placed.join(full, ["cx", "cy"], "left_semi").select("lat", "lon", "id")
 
     levels: list[DataFrame] = []
-    below: DataFrame | None = None
     for leaf in reversed(leaves):
         here = leaf.withColumn("cells", F.lit(None).cast("array<struct<cx:bigint,cy:bigint>>"))
-        if below is not None:
-            divided = (
-                below.select("cx", "cy")
-                .groupBy(F.floor(F.col("cx") / FAN_OUT).alias("px"), F.floor(F.col("cy") / FAN_OUT).alias("py"))
-                .agg(F.collect_list(F.struct("cx", "cy")).alias("cells"))
-                .select(
-                    F.col("px").alias("cx"), F.col("py").alias("cy"),
-                    F.lit(None).cast(leaf.schema["nodes"].dataType).alias("nodes"), "cells",
-                )
-            )
-            here = here.unionByName(divided)
-        below = store(here).df
-        levels.insert(0, below)
-    top = below.agg(F.collect_list(F.struct("cx", "cy")).alias("cells"))
-    return NodeIndex(top, levels)
-
-
-def _expand(rows: DataFrame, cells: Column, level: int, bound: Column) -> DataFrame:
-    """Cells of ``cells`` that may hold something at most ``bound`` away."""
-
-    def with_bounds(cell: Column) -> Column:
-        near, far = _bounds(cell["cx"], cell["cy"], level)
-        return F.struct(near.alias("near"), far.alias("far"), cell["cx"].alias("cx"), cell["cy"].alias("cy"))
-
-    measured = rows.withColumn("measured", F.transform(cells, with_bounds))
-    limit = F.least(bound, F.array_min(F.transform("measured", lambda c: c["far"])))
-    return measured.withColumn("bound", limit).withColumn(
-        "open", F.filter("measured", lambda c: c["near"] <= F.col("bound") * (1 + 1e-9) + 1e-18)
-    ).drop("measured")
+        if levels:
+            here = here.unionByName(_divided(levels[0], leaf.schema["nodes"].dataType))
+        levels.insert(0, store(here).df)
+    # at most 276 rows: the world has no more cells of 16 degrees
+    coarse = F.broadcast(_divided(levels[0], leaves[0].schema["nodes"].dataType))
+    top = coarse.agg(F.collect_list(F.struct("cx", "cy")).alias("cells"))
+    return NodeIndex(top, [coarse, *levels])
+
+
+def _divided(below: DataFrame, nodes_type) -> DataFrame:
+    """The cells one size up, each with the list of its non-empty parts."""
+    parent = F.floor(F.col("cx") / FAN_OUT).alias("px"), F.floor(F.col("cy") / FAN_OUT).alias("py")
+    return below.groupBy(*parent).agg(F.collect_list(F.struct("cx", "cy")).alias("cells")).select(
+        F.col("px").alias("cx"), F.col("py").alias("cy"), F.lit(None).cast(nodes_type).alias("nodes"), "cells"
+    )
+
+
+def _expand(rows: DataFrame, level: int, bound: str) -> DataFrame:
+    """Add ``open``: the members of ``cells`` that may hold something at most ``bound`` away."""
+    measured = rows.withColumn("measured", F.expr(f"transform(cells, c -> {_bounds(level)})"))
+    limited = measured.withColumn("bound", F.expr(f"least({bound}, array_min(transform(measured, c -> c.far)))"))
+    return limited.withColumn("open", F.expr(f"filter(measured, c -> c.near <= bound {_SLACK})")).drop("measured")
 
 
 def nearest_node(
@@ -135,22 +127,23 @@ def nearest_node(
     Points at the same place are searched once, and points without coordinates drop out.
     """
     index = nodes if isinstance(nodes, NodeIndex) else index_nodes(nodes)
+    tasks = task_count(points.sparkSession)
     spots = points.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna().distinct()
-    everything = F.lit(2.0)
-    todo = _expand(spots.withColumn("cells", index.top.scalar()), F.col("cells"), 0, everything)
-    todo = todo.select("lat", "lon", "bound", F.explode("open").alias("c")).select("lat", "lon", "bound", "c.cx", "c.cy")
+    spots = spots.repartition(tasks, "lat", "lon")
+    beam = ["lat", "lon", "bound"]
+    todo = _expand(spots.withColumn("cells", index.top.scalar()), 0, "2.0D")
+    todo = todo.select(*beam, F.explode("open").alias("c")).select(*beam, "c.cx", "c.cy")
 
     answers: list[DataFrame] = []
     for level, table in enumerate(index.levels):
         met = todo.join(table, ["cx", "cy"])
-        closest = F.array_min(F.transform(
-            "nodes",
-            lambda n: F.struct(half_chord("lat", "lon", n["lat"], n["lon"]).alias("h"), n["id"].alias("id")),
-        ))
-        met = met.withColumn("best", closest)
-        met = _expand(met, F.col("cells"), level + 1, F.least("bound", F.col("best.h")))
+        chord = (
+            "power(sin(radians(n.lat - lat) / 2), 2) + "
+            "cos(radians(lat)) * cos(radians(n.lat)) * power(sin(radians(n.lon - lon) / 2), 2)"
+        )
+        met = met.withColumn("best", F.expr(f"array_min(transform(nodes, n -> named_struct('h', {chord}, 'id', n.id)))"))
         step = store(
-            met.select("lat", "lon", "bound", "best", "open"),
+            _expand(met, level + 1, "bound, best.h").select(*beam, "best", "open"),
             more=F.count_if(F.coalesce(F.size("open"), F.lit(0)) > 0),
         )
         answers.append(step.df.filter(F.col("best").isNotNull()).select("lat", "lon", "best"))
@@ -159,10 +152,10 @@ def nearest_node(
         # the beam of a point is a few rows: share its tightest bound among them
         shared = F.min("bound").over(Window.partitionBy("lat", "lon"))
         todo = (
-            step.df.withColumn("bound", shared)
-            .select("lat", "lon", "bound", F.explode("open").alias("c"))
-            .filter(F.col("c.near") <= F.col("bound") * (1 + 1e-9) + 1e-18)
-            .select("lat", "lon", "bound", "c.cx", "c.cy")
+            step.df.repartition(tasks, "lat", "lon").withColumn("bound", shared)
+            .select(*beam, F.explode("open").alias("c"))
+            .filter(f"c.near <= bound {_SLACK}")
+            .select(*beam, "c.cx", "c.cy")
         )
     found = reduce(DataFrame.unionByName, answers).groupBy("lat", "lon").agg(F.min("best").alias("best"))
     found = found.select(

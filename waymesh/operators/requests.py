@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymesh import schemas
 from waymesh.operators.cache import one_per_pair
 from waymesh.operators.nearest import NodeIndex, index_nodes, nearest_node
+from waymesh.runtime import store
 
 
 def parse_requests(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -38,6 +39,7 @@ def parse_requests(messages: DataFrame, value: str = "value") -> DataFrame:
 def locate_requests(requests: DataFrame, nodes: DataFrame | NodeIndex) -> DataFrame:
     """Fill missing ``node1``/``node2`` with the nodes nearest to the markers."""
     index = nodes if isinstance(nodes, NodeIndex) else index_nodes(nodes)
+    requests = store(requests).df  # parsed once, read by column several times below
     spots = reduce(DataFrame.unionByName, [
         requests.filter(f"node{i} IS NULL").select(F.col(f"lat{i}").alias("lat"), F.col(f"lng{i}").alias("lng"))
         for i in (1, 2)

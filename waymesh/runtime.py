@@ -44,6 +44,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for steps that are small in bytes but long in computing.
+
+    Adaptive execution would merge their partitions by size; an explicit number of
+    partitions is kept.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass(frozen=True)
 class Stored:
     """A written table and the figures observed while it was written."""
