@@ -111,8 +111,30 @@ def _divided(below: DataFrame, nodes_type) -> DataFrame:
     )
 
 
+def _surroundings(rows: DataFrame, level: int) -> DataFrame:
+    """Keep of ``cells`` those near enough in whole cells, before any angle is computed.
+
+    If the closest cell is m cells away, something lies within (m + 1) * sqrt(2) cells.
+    A cell k away in either direction is at least (k - 1) cells away, less the cosine of
+    the latitudes in question and less 2/pi for the bend of the sphere.
+    """
+    size = _size(level)
+    around = round(360 / size)
+    apart = (
+        f"greatest(abs(c.cy - floor((lat + 90.0D) / {size!r}D)), "
+        f"abs(pmod(c.cx - floor((lon + 180.0D) / {size!r}D) + {around // 2}, {around}) - {around // 2}))"
+    )
+    ranked = rows.withColumn("ranks", F.expr(f"transform(cells, c -> {apart})"))
+    closest = "(array_min(ranks) + 1)"
+    cosine = f"cos(radians(least(90.0D, abs(lat) + ({closest} * 1.4143D + 2) * {size!r}D)))"
+    reached = ranked.withColumn("reach", F.expr(f"1 + 2.2215D * {closest} / {cosine}"))
+    return reached.withColumn("cells", F.expr("filter(cells, (c, i) -> ranks[i] <= reach)")).drop("ranks", "reach")
+
+
 def _expand(rows: DataFrame, level: int, bound: str) -> DataFrame:
     """Add ``open``: the members of ``cells`` that may hold something at most ``bound`` away."""
+    if level > 0:  # cells of 16 degrees do not divide the circle evenly
+        rows = _surroundings(rows, level)
     measured = rows.withColumn("measured", F.expr(f"transform(cells, c -> {_bounds(level)})"))
     limited = measured.withColumn("bound", F.expr(f"least({bound}, array_min(transform(measured, c -> c.far)))"))
     return limited.withColumn("open", F.expr(f"filter(measured, c -> c.near <= bound {_SLACK})")).drop("measured")
@@ -129,10 +151,16 @@ def nearest_node(
     index = nodes if isinstance(nodes, NodeIndex) else index_nodes(nodes)
     tasks = task_count(points.sparkSession)
     spots = points.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna().distinct()
-    spots = spots.repartition(tasks, "lat", "lon")
-    beam = ["lat", "lon", "bound"]
-    todo = _expand(spots.withColumn("cells", index.top.scalar()), 0, "2.0D")
-    todo = todo.select(*beam, F.explode("open").alias("c")).select(*beam, "c.cx", "c.cy")
+    # a whole number as key: floating-point keys are normalised and shuffled anew by each window
+    spots = store(spots.withColumn("spot", F.monotonically_increasing_id())).df
+    beam = ["spot", "lat", "lon", "bound"]
+
+    def opened(rows: DataFrame) -> DataFrame:
+        # the outer form keeps the planner from copying the bounds into an early filter
+        return rows.select(*beam, F.explode_outer("open").alias("c"))
+
+    todo = _expand(spots.repartition(tasks, "spot").withColumn("cells", index.top.scalar()), 0, "2.0D")
+    todo = opened(todo).select(*beam, "c.cx", "c.cy")
 
     answers: list[DataFrame] = []
     for level, table in enumerate(index.levels):
@@ -146,18 +174,17 @@ def nearest_node(
             _expand(met, level + 1, "bound, best.h").select(*beam, "best", "open"),
             more=F.count_if(F.coalesce(F.size("open"), F.lit(0)) > 0),
         )
-        answers.append(step.df.filter(F.col("best").isNotNull()).select("lat", "lon", "best"))
+        answers.append(step.df.filter(F.col("best").isNotNull()).select("spot", "best"))
         if not step.stats["more"]:
             break
         # the beam of a point is a few rows: share its tightest bound among them
-        shared = F.min("bound").over(Window.partitionBy("lat", "lon"))
+        shared = F.min("bound").over(Window.partitionBy("spot"))
         todo = (
-            step.df.repartition(tasks, "lat", "lon").withColumn("bound", shared)
-            .select(*beam, F.explode("open").alias("c"))
+            opened(step.df.filter(F.size("open") > 0).repartition(tasks, "spot").withColumn("bound", shared))
             .filter(f"c.near <= bound {_SLACK}")
             .select(*beam, "c.cx", "c.cy")
         )
-    found = reduce(DataFrame.unionByName, answers).groupBy("lat", "lon").agg(F.min("best").alias("best"))
+    found = reduce(DataFrame.unionByName, answers).groupBy("spot").agg(F.min("best").alias("best")).join(spots, "spot")
     found = found.select(
         F.col("lat").alias(lat), F.col("lon").alias(lon), F.col("best.id").alias(node),
         *([chord_to_metres(F.col("best.h")).alias(distance)] if distance else []),
