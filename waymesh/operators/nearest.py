@@ -1,8 +1,8 @@
 """Nearest node for a whole table of points, exact for any density of the nodes.
 
-The nodes are filed in cells of 16 degrees, 1 degree, 1/16 degree and so on. A cell
-with few nodes keeps them as an array; a fuller one lists its (at most 256) non-empty
-cells of the next size. A point starts with the cells of the coarsest size and goes
+The nodes are filed in cells of 16 degrees, 4 degrees, 1 degree and so on. A cell with
+few nodes keeps them as an array; a fuller one lists its (at most 16) non-empty cells of
+the next size. A point starts with the cells of the coarsest size and goes
 down: per size one equi-join on the cell, then every cell that cannot hold the nearest
 node is dropped, because its smallest possible distance exceeds the largest possible
 distance of another cell. No point meets more than a handful of cells, however many
@@ -21,9 +21,9 @@ from waymesh.functions.geo import chord_to_metres, half_chord
 from waymesh.operators.cleaning import located
 from waymesh.runtime import store, task_count
 
-FAN_OUT = 16
+FAN_OUT = 4
 COARSEST = 16.0
-FINEST_LEVEL = 6  # 16 / 16**6 degrees are about 10 cm; coordinates are distinct by then
+FINEST_LEVEL = 12  # 16 / 4**12 degrees are about 10 cm
 NODES_PER_CELL = 64
 
 
@@ -111,30 +111,8 @@ def _divided(below: DataFrame, nodes_type) -> DataFrame:
     )
 
 
-def _surroundings(rows: DataFrame, level: int) -> DataFrame:
-    """Keep of ``cells`` those near enough in whole cells, before any angle is computed.
-
-    If the closest cell is m cells away, something lies within (m + 1) * sqrt(2) cells.
-    A cell k away in either direction is at least (k - 1) cells away, less the cosine of
-    the latitudes in question and less 2/pi for the bend of the sphere.
-    """
-    size = _size(level)
-    around = round(360 / size)
-    apart = (
-        f"greatest(abs(c.cy - floor((lat + 90.0D) / {size!r}D)), "
-        f"abs(pmod(c.cx - floor((lon + 180.0D) / {size!r}D) + {around // 2}, {around}) - {around // 2}))"
-    )
-    ranked = rows.withColumn("ranks", F.expr(f"transform(cells, c -> {apart})"))
-    closest = "(array_min(ranks) + 1)"
-    cosine = f"cos(radians(least(90.0D, abs(lat) + ({closest} * 1.4143D + 2) * {size!r}D)))"
-    reached = ranked.withColumn("reach", F.expr(f"1 + 2.2215D * {closest} / {cosine}"))
-    return reached.withColumn("cells", F.expr("filter(cells, (c, i) -> ranks[i] <= reach)")).drop("ranks", "reach")
-
-
 def _expand(rows: DataFrame, level: int, bound: str) -> DataFrame:
     """Add ``open``: the members of ``cells`` that may hold something at most ``bound`` away."""
-    if level > 0:  # cells of 16 degrees do not divide the circle evenly
-        rows = _surroundings(rows, level)
     measured = rows.withColumn("measured", F.expr(f"transform(cells, c -> {_bounds(level)})"))
     limited = measured.withColumn("bound", F.expr(f"least({bound}, array_min(transform(measured, c -> c.far)))"))
     return limited.withColumn("open", F.expr(f"filter(measured, c -> c.near <= bound {_SLACK})")).drop("measured")
