@@ -4,7 +4,7 @@ import random
 import pytest
 
 from waymesh.operators.components import component_sizes, connected_components, keep_largest, largest_component
-from waymesh.operators.shaping import chain_nodes, consolidate, simplify_chains
+from waymesh.operators.shaping import chain_nodes, close_links, consolidate, simplify_chains
 
 
 def find_components(nodes, edges):
@@ -99,3 +99,21 @@ def test_simplify_chains(spark):
         (1, 9, 1, 10, ("r",), ("25",)), (9, 1, 1, 10, ("s",), ("25",)),
         (20, 20, 3, 126, ("r", "s"), ("25", "30")),
     }
+
+
+@pytest.mark.parametrize("per_join", [4096, 12])
+def test_crowded_places_are_divided(spark, monkeypatch, per_join):
+    monkeypatch.setattr("waymesh.operators.shaping.PAIRS_PER_JOIN", per_join)
+    # two crowds of 90 nodes whose distance is close to the reach: only some pairs are near enough
+    rng = random.Random(3)
+    one = [(46.7 + rng.uniform(0, 4e-5), -117.2 + rng.uniform(0, 4e-5)) for _ in range(90)]
+    two = [(46.7 + 3.6e-4 + rng.uniform(0, 4e-5), -117.2 + rng.uniform(0, 4e-5)) for _ in range(90)]
+    for reach in (35.3, 36.5, 40.0):
+        places = one + two
+        want = find_components(range(180), [
+            (i, j) for i in range(180) for j in range(i) if metres(places[i], places[j]) <= reach
+        ])
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, lat double, lon double")
+        links = [(r.u, r.v) for r in close_links(df, reach).collect()]
+        assert find_components(range(180), links) == want
+        assert len(links) < 400

@@ -73,17 +73,23 @@ def simplify_chains(edges: DataFrame) -> DataFrame:
     )
 
 
+SPLIT = 4
+PAIRS_PER_JOIN = 4096
+_MAX_DEPTH = 16
+
+
 def close_links(nodes: DataFrame, reach_m: float) -> DataFrame:
     """Links that join all nodes within ``reach_m`` of each other into components.
 
     Not every close pair is written: nodes of one grid cell, whose diagonal is at most
     ``reach_m``, hang on the cell's smallest id, and two neighbouring cells need a
-    single link. Cells are compared by quarters first: quarters entirely within reach
-    are linked as they are, quarters entirely out of reach are dropped, and only the
-    rest is measured node by node.
+    single link. Cells are compared part by part: parts entirely within reach are
+    linked as they are, parts entirely out of reach are dropped. Of the rest, parts with
+    few nodes are measured node by node and crowded ones are divided again, so a place
+    that holds a large share of all nodes is never paired with itself or another.
     """
     spots = store(
-        nodes.filter("lat IS NOT NULL AND lon IS NOT NULL"),
+        nodes.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon"),
         south=F.min("lat"), north=F.max("lat"), farthest=F.max(F.abs("lat")),
     )
     if not spots.rows:
@@ -91,60 +97,81 @@ def close_links(nodes: DataFrame, reach_m: float) -> DataFrame:
     degree_m = EARTH_RADIUS_M * radians(1.0)
     south, north, farthest = spots.stats["south"], spots.stats["north"], spots.stats["farthest"]
     nearest = 0.0 if south <= 0 <= north else min(abs(south), abs(north))
+    most_cos, least_cos = cos(radians(nearest)), max(cos(radians(min(89.0, farthest))), 1e-3)
     side = reach_m / 1.5  # 1.5 > sqrt(2): the diagonal stays below the reach
-    step_lat, step_lon = side / degree_m, side / (degree_m * cos(radians(nearest)))
-    least_cos = max(cos(radians(min(89.0, farthest))), 1e-3)
+    step_lat, step_lon = side / degree_m, side / (degree_m * most_cos)
     far_y, far_x = ceil(reach_m / side), ceil(reach_m / (step_lon * degree_m * least_cos))
 
-    split = 4
-    placed = spots.df.select(
-        "id", "lat", "lon",
-        F.floor(F.col("lat") / step_lat).cast("bigint").alias("cy"),
-        F.floor(F.col("lon") / step_lon).cast("bigint").alias("cx"),
-        F.floor(F.col("lat") / (step_lat / split)).cast("bigint").alias("qy"),
-        F.floor(F.col("lon") / (step_lon / split)).cast("bigint").alias("qx"),
-    )
-    placed = store(placed).df
+    def grid(name: str, parts: int):
+        return [
+            F.floor(F.col("lat") / (step_lat / parts)).cast("bigint").alias(f"{name}y"),
+            F.floor(F.col("lon") / (step_lon / parts)).cast("bigint").alias(f"{name}x"),
+        ]
+
+    placed = store(spots.df.select("*", *grid("c", 1))).df
     heads = placed.groupBy("cy", "cx").agg(F.min("id").alias("head"))
-    within = placed.join(heads, ["cy", "cx"]).filter("id != head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    links = placed.join(heads, ["cy", "cx"]).filter("id != head").select(F.col("head").alias("u"), F.col("id").alias("v"))
 
-    # per quarter: its smallest id and the box its nodes really fill
-    quarters = store(
-        placed.groupBy("cy", "cx", "qy", "qx").agg(
-            F.min("id").alias("id"), F.min("lat").alias("s"), F.max("lat").alias("n"),
+    def boxes(depth: int, prefix: str) -> DataFrame:
+        """Parts of the cells: node count, smallest id and the box the nodes really fill."""
+        table = placed.select("*", *grid("q", SPLIT**depth)).groupBy("cy", "cx", "qy", "qx").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("lat").alias("s"), F.max("lat").alias("t"),
             F.min("lon").alias("w"), F.max("lon").alias("e"),
         )
-    ).df
-    ahead = [(dy, dx) for dy in range(0, far_y + 1) for dx in range(-far_x, far_x + 1) if dy > 0 or dx > 0]
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ahead])
-    mine = quarters.select("*", F.explode(shifts).alias("d")).select(
-        *[F.col(c).alias(f"a_{c}") for c in quarters.columns],
-        (F.col("cy") + F.col("d.dy")).alias("cy"), (F.col("cx") + F.col("d.dx")).alias("cx"),
-    )
-    met = mine.join(quarters, ["cy", "cx"])
-    gap_lat = F.greatest(F.lit(0.0), F.col("s") - F.col("a_n"), F.col("a_s") - F.col("n"))
-    gap_lon = F.greatest(F.lit(0.0), F.col("w") - F.col("a_e"), F.col("a_w") - F.col("e"))
-    span_lat = F.greatest(F.col("n"), F.col("a_n")) - F.least(F.col("s"), F.col("a_s"))
-    span_lon = F.greatest(F.col("e"), F.col("a_e")) - F.least(F.col("w"), F.col("a_w"))
-    most = F.lit(degree_m) * F.sqrt(span_lat**2 + (span_lon * cos(radians(nearest))) ** 2)
-    least = F.greatest(F.lit(degree_m) * gap_lat, F.lit(degree_m * least_cos * 0.999) * gap_lon)
-    met = store(
-        met.select(
-            "a_cy", "a_cx", "a_qy", "a_qx", "cy", "cx", "qy", "qx", F.col("a_id").alias("u"), F.col("id").alias("v"),
-            (most * (1 + 1e-9) <= reach_m).alias("sure"), (least <= reach_m).alias("maybe"),
+        return table.select(*[F.col(c).alias(prefix + c) for c in table.columns])
+
+    def compared(pairs: DataFrame):
+        gap_lat = F.greatest(F.lit(0.0), F.col("bs") - F.col("at"), F.col("as") - F.col("bt"))
+        gap_lon = F.greatest(F.lit(0.0), F.col("bw") - F.col("ae"), F.col("aw") - F.col("be"))
+        span_lat = F.greatest("bt", "at") - F.least("bs", "as")
+        span_lon = F.greatest("be", "ae") - F.least("bw", "aw")
+        most = F.lit(degree_m * (1 + 1e-9)) * F.sqrt(span_lat**2 + (span_lon * most_cos) ** 2)
+        least = F.lit(degree_m * 0.999) * F.greatest(gap_lat, gap_lon * least_cos)
+        single = (F.col("as") == F.col("at")) & (F.col("aw") == F.col("ae")) & (F.col("bs") == F.col("bt")) & (F.col("bw") == F.col("be"))
+        exact = geo_distance("as", "aw", "bs", "bw") <= reach_m
+        return pairs.select(
+            *[c for c in pairs.columns if c[1:] in ("cy", "cx", "qy", "qx")],
+            F.col("aid").alias("u"), F.col("bid").alias("v"), (F.col("an") * F.col("bn") > PAIRS_PER_JOIN).alias("crowded"),
+            F.when(single, exact).otherwise(most <= reach_m).alias("sure"),
+            F.when(single, exact).otherwise(least <= reach_m).alias("maybe"),
         ).filter("maybe")
-    ).df
-    cells = ["a_cy", "a_cx", "cy", "cx"]
-    sure = met.filter("sure").groupBy(*cells).agg(F.min(F.struct("u", "v")).alias("l"))
-    open_pairs = met.filter("NOT sure").join(sure.select(*cells), cells, "left_anti")
-    left = placed.select(*[F.col(c).alias(f"a_{c}") for c in placed.columns])
-    near = geo_distance("a_lat", "a_lon", "lat", "lon") <= reach_m
-    measured = (
-        open_pairs.drop("u", "v").join(left, ["a_cy", "a_cx", "a_qy", "a_qx"])
-        .join(placed, ["cy", "cx", "qy", "qx"]).filter(near)
-        .groupBy(*cells).agg(F.min(F.struct(F.col("a_id").alias("u"), F.col("id").alias("v"))).alias("l"))
-    )
-    return within.unionByName(sure.select("l.*")).unionByName(measured.select("l.*"))
+
+    ahead = [(dy, dx) for dy in range(far_y + 1) for dx in range(-far_x, far_x + 1) if dy > 0 or dx > 0]
+    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ahead])
+    mine = boxes(1, "a").select("*", F.explode(shifts).alias("d")).withColumns(
+        {"bcy": F.col("acy") + F.col("d.dy"), "bcx": F.col("acx") + F.col("d.dx")}
+    ).drop("d")
+    met = store(compared(mine.join(boxes(1, "b"), ["bcy", "bcx"])), crowded=F.count_if("crowded"))
+    cells = ["acy", "acx", "bcy", "bcx"]
+    for depth in range(1, _MAX_DEPTH + 1):
+        sure = met.df.filter("sure").groupBy(*cells).agg(F.min(F.struct("u", "v")).alias("l"))
+        links = links.unionByName(sure.select("l.*"))
+        left = met.df.filter("NOT sure").join(sure.select(*cells), cells, "left_anti")
+        parts = placed.select("*", *grid("q", SPLIT**depth))
+        of_a = parts.select(*[F.col(c).alias(f"a{c}") for c in ("cy", "cx", "qy", "qx", "id", "lat", "lon")])
+        of_b = parts.select(*[F.col(c).alias(f"b{c}") for c in ("cy", "cx", "qy", "qx", "id", "lat", "lon")])
+        near = geo_distance("alat", "alon", "blat", "blon") <= reach_m
+        measured = (
+            left.filter("NOT crowded").drop("u", "v")
+            .join(of_a, ["acy", "acx", "aqy", "aqx"]).join(of_b, ["bcy", "bcx", "bqy", "bqx"]).filter(near)
+            .groupBy(*cells).agg(F.min(F.struct(F.col("aid").alias("u"), F.col("bid").alias("v"))).alias("l"))
+        )
+        links = links.unionByName(measured.select("l.*"))
+        if not met.stats["crowded"]:
+            return links
+        crowded = left.filter("crowded").select(
+            *cells, *[F.col(c).alias(f"{c}_up") for c in ("aqy", "aqx", "bqy", "bqx")]
+        )
+
+        def finer(prefix: str) -> DataFrame:
+            ups = {f"{prefix}{q}_up": F.floor(F.col(f"{prefix}{q}") / SPLIT) for q in ("qy", "qx")}
+            return boxes(depth + 1, prefix).withColumns(ups)
+
+        pairs = crowded.join(finer("a"), ["acy", "acx", "aqy_up", "aqx_up"]).join(
+            finer("b"), ["bcy", "bcx", "bqy_up", "bqx_up"]
+        )
+        met = store(compared(pairs), crowded=F.count_if("crowded"))
+    raise RuntimeError("nodes at different places share the finest part")
 
 
 def consolidate(nodes: DataFrame, edges: DataFrame, tol_m: float) -> tuple[DataFrame, DataFrame]:
