@@ -17,14 +17,18 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     the total work is linear and the number of rounds logarithmic. ``u`` and ``v`` may
     be of any type that has an order. ``nodes`` (``id``) adds isolated nodes.
     """
-    links = edges.select("u", "v")
-    everyone = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    # the input is evaluated once; loops stay in for the list of nodes
+    pairs = store(
+        edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
+        links=F.count_if(F.col("u") != F.col("v")),
+    )
+    everyone = pairs.df.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select("id")).distinct()
-    links = store(links.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links, left = pairs.df.filter(F.col("u") != F.col("v")), pairs.stats["links"]
     hooks: list[DataFrame] = []
     for round_no in range(max_rounds):
-        if not links.rows:
+        if not left:
             break
         both = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")),
                        F.struct(F.col("v").alias("id"), F.col("u").alias("other")))
@@ -32,8 +36,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         def draw(c: str):
             return F.struct(F.xxhash64(c, F.lit(round_no)).alias("h"), F.col(c).alias("id"))
 
-        pairs = links.df.select(F.explode(both).alias("p")).select("p.*")
-        chosen = pairs.groupBy("id").agg(F.min(draw("other")).alias("best")).select(
+        sides = links.select(F.explode(both).alias("p")).select("p.*")
+        chosen = sides.groupBy("id").agg(F.min(draw("other")).alias("best")).select(
             "id", F.least("best", draw("id")).getField("id").alias("to")
         )
         # one jump along the hooks; what is left of a chain contracts in the next round
@@ -42,10 +46,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         hooks.append(hook)
         ends_u = hook.select(F.col("id").alias("u"), F.col("to").alias("nu"))
         ends_v = hook.select(F.col("id").alias("v"), F.col("to").alias("nv"))
-        links = store(
-            links.df.join(ends_u, "u").join(ends_v, "v").filter(F.col("nu") != F.col("nv"))
+        kept = store(
+            links.join(ends_u, "u").join(ends_v, "v").filter(F.col("nu") != F.col("nv"))
             .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
         )
+        links, left = kept.df, kept.rows
     else:
         raise RuntimeError(f"links are left after {max_rounds} rounds")
     # follow the hooks from the last, smallest table back to all nodes

@@ -42,6 +42,7 @@ def simplify_chains(edges: DataFrame) -> DataFrame:
     and speeds as sorted arrays. A ring without any junction becomes a loop at its
     smallest node. Chains of any length contract in a logarithmic number of rounds.
     """
+    edges = store(edges.select("u", "v", "length_m", "cost_c", "highway", "maxspeed")).df
     passing = store(chain_nodes(edges)).df
     into = edges.select(F.struct("u", "v").alias("a"), F.col("v").alias("id"), F.col("u").alias("before"))
     out_of = edges.select(F.struct("u", "v").alias("b"), F.col("u").alias("id"), F.col("v").alias("after"))

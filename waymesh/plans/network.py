@@ -13,6 +13,7 @@ from waymesh.operators.cleaning import (
 )
 from waymesh.operators.components import keep_largest
 from waymesh.operators.graph import Box, directed_edges, edges_in_box
+from waymesh.runtime import store
 
 # Road classes a car does not use.
 NOT_DRIVABLE = [
@@ -59,7 +60,8 @@ def drivable_network(ways: DataFrame, nodes: DataFrame, box: Box | None = None)
     raw = way_edges(drivable_ways(with_way_tags(ways)), nodes.select("id", "lat", "lon"))
     if box is not None:
         raw = edges_in_box(nodes, raw, box)
-    edges = routable(clean_edges(raw))
+    # the extract is parsed and joined once, the clean table read several times below
+    edges = store(routable(clean_edges(store(raw).df))).df
     used = referenced_nodes(nodes.select("id", "lat", "lon"), edges)
     return keep_largest(used, edges)
 
