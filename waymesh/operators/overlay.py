@@ -67,9 +67,9 @@ def above_q3(edges: DataFrame, q3: DataFrame | None = None) -> DataFrame:
 
 def overlay_colors(edges: DataFrame) -> DataFrame:
     """Add ``color``: NULL below the upper-half median, else ``rgb(r,0,b)`` from blue to red."""
-    limits = store(edges.agg(F.max("centrality").alias("top"), F.lit(0).alias("k"))).df
+    top = store(edges.agg(F.max("centrality").alias("top"))).df
     q3 = store(upper_half_median(edges)).df
-    marked = edges.withColumns({"q3": q3.scalar(), "top": limits.select("top").scalar()})
+    marked = edges.withColumns({"q3": q3.scalar(), "top": top.scalar()})
     base = F.col("top") - F.col("q3")
     percent = F.when(base == 0, F.lit(100.0)).otherwise((F.col("centrality") - F.col("q3")) / F.nullif(base, F.lit(0.0)) * 100)
     level = F.floor(255 * (F.col("percent") / 100) + 0.5).cast("string")

@@ -48,9 +48,11 @@ def task_count(spark: SparkSession) -> int:
     """Number of tasks for steps that are small in bytes but long in computing.
 
     Adaptive execution would merge their partitions by size; an explicit number of
-    partitions is kept.
+    partitions is kept. On one machine more tasks than cores only cost time.
     """
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(wanted, context.defaultParallelism) if context.master.startswith("local") else wanted
 
 
 @dataclass(frozen=True)
