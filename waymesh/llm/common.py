@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,10 @@ def utf8_length(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text: the same for equal texts, distinct for all others."""
     return F.unhex(F.md5(text.cast("binary")))
+
+
+def slices(batch: pd.DataFrame, sizes: pd.Series, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """An Arrow batch in parts of about ``most`` characters; a longer single row comes alone."""
+    part = (sizes.cumsum() // most).to_numpy()
+    for k in sorted(set(part)):
+        yield batch[part == k]

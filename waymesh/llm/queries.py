@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import exact, sharding
+from waymesh.llm import bpe, exact, sharding
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,16 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@_query
+def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as ids of the public many-language vocabulary, and decoded again."""
+    import public_tokenizers
+
+    return bpe.digests(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 @_query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
