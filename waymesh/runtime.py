@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -28,6 +29,27 @@ def local_session(cores: str | int = "*", app: str = "waymesh", shuffle_partitio
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    Functions that run in tasks are found by name there, so the workers need the package
+    even if only the driver's path leads to it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_waymesh_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="waymesh-code-"), "waymesh.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("waymesh", os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    context._waymesh_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder shared by all executors, taken from ``spark.checkpoint.dir``.
 
