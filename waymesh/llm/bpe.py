@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.common import slices, text_of
+from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
 MEMORY_PIECES, MEMORY_BYTES = 250_000, 256
@@ -209,6 +210,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", t
                 ids = tool.encode(part["body"].tolist())
                 yield pd.DataFrame({"id": part["id"], "ids": ids, "decoded": tool.decode(ids)})
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("body"))
     kind = docs.schema[id].dataType.simpleString()
     return rows.mapInPandas(work, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, exact, sharding
+from waymesh.llm import bpe, exact, jaccard, sharding
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,12 @@ def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of similar texts (words by fives, similarity 0.8) and its number of links."""
+    return jaccard.similar_texts(table(spark, folder, "documents")).drop("class_key")
+
+
 @_query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
