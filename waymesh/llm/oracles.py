@@ -11,6 +11,31 @@ select doc_id,
        sha256(coalesce(text, '')) as text_sha256
 from documents
 window w as (partition by coalesce(text, ''))
+""",
+    "op6_perspectives": """
+with said as (
+    select conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as body,
+           row_number() over (partition by conv_id order by coalesce(turn, -1), replace(coalesce(role, 'unknown'), '<|', '< |'),
+                              replace(coalesce(text, ''), '<|', '< |')) - 1 as pos
+    from conversations
+),
+speakers as (select distinct conv_id, role as perspective from said where role <> 'system'),
+pieces as (
+    select s.conv_id, perspective, pos // 512 as part, pos, role = perspective as mine,
+           case when role = perspective then '<|assistant|>' || chr(10) when role = 'system' then '<|system|>' || chr(10)
+                else '<|user name=' || role || '|>' || chr(10) end as head,
+           body || '<|end|>' as tail
+    from said s join speakers p on s.conv_id is not distinct from p.conv_id
+),
+placed as (
+    select *, coalesce(sum(length(head) + length(tail) + 1) over (
+               partition by conv_id, perspective, part order by pos rows between unbounded preceding and 1 preceding), 0) as offset_here
+    from pieces
+)
+select conv_id, perspective, part, count(*) as n_turns, string_agg(head || tail || chr(10), '' order by pos) as rendered,
+       coalesce(string_agg((offset_here + length(head))::bigint || ':' || (offset_here + length(head) + length(tail))::bigint, ',' order by pos)
+                filter (where mine), '') as mask
+from placed group by conv_id, perspective, part
 """,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, exact, jaccard, sharding
+from waymesh.llm import bpe, chat, exact, jaccard, quality, sharding, urls
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,25 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op6_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation once per participant, with that one as the assistant."""
+    return chat.perspectives(table(spark, folder, "conversations"))
+
+
+@_query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path and verdict of every page's url."""
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
 @_query
 def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards, and where they go with 17."""
     return sharding.shard_documents(table(spark, folder, "documents"), 16)
+
+
+@_query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
