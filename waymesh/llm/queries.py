@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, chat, exact, jaccard, quality, sharding, urls
+from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, quality, sharding, urls
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,12 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), 16)
 
 
+@_query
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that contain benchmark items, and which."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @_query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document."""
