@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, quality, sharding, urls
+from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, pii, quality, sharding, urls
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@_query
+def op1_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: spans of the fixed patterns and those the model adds."""
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
+
+
 @_query
 def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as ids of the public many-language vocabulary, and decoded again."""
