@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, pii, quality, sharding, urls
+from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, pii, quality, sharding, substrings, urls
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op1_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
 
 
+@_query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that stand anywhere else too."""
+    left = substrings.remove_repeats(table(spark, folder, "documents"), length=200)
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @_query
 def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as ids of the public many-language vocabulary, and decoded again."""
