@@ -32,39 +32,43 @@ from waymesh.llm.common import slices, text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
-MEMORY_PIECES, MEMORY_BYTES = 250_000, 256
+MEMORY_PIECES, MEMORY_BYTES = 400_000, 256
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
 QUERY_BYTES = 200_000
 #: Tokens that one decoding query works on (a single longer document goes alone).
 QUERY_TOKENS = 200_000
 
+# ``best`` holds the minimum rank of a word's pairs and, in its lower half, the leftmost position of it;
+# ``nth`` counts from the last row that is no hit, so odd ones can be contracted and even ones vanish
 _ENCODE = """
-with recursive work(word, pos, token, rank, best) as (
-    select word, pos, s.token, m.merged, min(m.merged) over (partition by word)
-    from (select word, pos, token, lead(token) over (partition by word order by pos) as follower from start) s
-    left join merges m on m.first = s.token and m.second = follower
+with recursive work(word, pos, token, opens, rank, best) as (
+    select word, pos, s.token, opens, m.merged, min(m.merged::bigint << 32 | pos) over (partition by word)
+    from (
+        select word, pos, token, lag(word) over (order by pos) is distinct from word as opens,
+               case when lead(word) over (order by pos) = word then token::bigint * 65536 + lead(token) over (order by pos) end as pair
+        from start
+    ) s
+    left join pairs m on m.pair = s.pair
   union all
-    select word, pos, n.token, m.merged, min(m.merged) over (partition by word)
+    select word, n.pos, n.token, opens, m.merged, min(m.merged::bigint << 32 | n.pos) over (partition by word)
     from (
-        select word, pos, token, lead(token) over (partition by word order by pos) as follower
+        select word, row_number() over (order by pos) as pos, token, opens,
+               case when lead(word) over (order by pos) = word then token::bigint * 65536 + lead(token) over (order by pos) end as pair
         from (
-            select word, pos, case when taken then best else token end as token,
-                   coalesce(lag(taken) over (partition by word order by pos), false) as gone
+            select word, pos, opens,
+                   case when hit and (pos = leftmost or not alone and nth % 2 = 1) then least else token end as token,
+                   case when alone then pos = leftmost + 1 else nth % 2 = 0 end as gone
             from (
-                select *, hit and case when alone then nth = leftmost else (nth - coalesce(barrier, 0)) % 2 = 1 end as taken
+                select *, case when opens then 1 else pos - max(case when not hit then pos when opens then pos - 1 end) over before end as nth
                 from (
-                    select h.*, u.token is not null as alone,
-                           max(case when not hit then nth end) over (partition by word order by pos) as barrier,
-                           min(case when hit then nth end) over (partition by word) as leftmost
-                    from (
-                        select word, pos, token, best, rank is not distinct from best as hit,
-                               row_number() over (partition by word order by pos) as nth
-                        from work where best is not null
-                    ) h left join stepwise u on u.token = best
+                    select word, pos, work.token, opens, best >> 32 as least, best & 4294967295 as leftmost,
+                           rank is not distinct from best >> 32 as hit, u.token is not null as alone
+                    from work left join stepwise u on u.token = best >> 32 where best is not null
                 )
+                window before as (order by pos rows between unbounded preceding and 1 preceding)
             )
         ) where not gone
-    ) n left join merges m on m.first = n.token and m.second = follower
+    ) n left join pairs m on m.pair = n.pair
 )
 select word, list(token order by pos) as ids from work where best is null group by word
 """
@@ -89,17 +93,18 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
+        if max(self.ranks.values(), default=0) >= 65536:
+            raise ValueError("pairs of ids are packed as two numbers below 65536")
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         vocab = pd.DataFrame({"id": list(self.ranks.values()), "digits": [t.hex() for t in self.ranks]})
         self.db.execute("create table vocab as select id::integer as id, digits, unhex(digits) as token from vocab")
-        self.db.execute("create table merges (first integer, second integer, merged integer)")
         self._pairs()
         # tokens that could join a neighbour at a lower rank than their own
         self.db.execute(
-            "create table stepwise as select distinct token from "
-            "(select first as token, merged from merges union all select second, merged from merges) where merged < token"
+            "create table stepwise as select distinct token::bigint as token from (select pair // 65536 as token, merged from pairs "
+            "union all select pair % 65536, merged from pairs) where merged < token"
         )
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
 
@@ -111,8 +116,9 @@ class Codec:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     first.append(left), second.append(right), merged.append(rank)
-        pairs = pd.DataFrame({"first": first, "second": second, "merged": merged}, dtype=np.int32)  # noqa: F841
-        self.db.execute("insert into merges select * from pairs")
+        pair = np.array(first, dtype=np.int64) * 65536 + np.array(second, dtype=np.int64)
+        found = pd.DataFrame({"pair": pair, "merged": np.array(merged, dtype=np.int32)})  # noqa: F841
+        self.db.execute("create table pairs as select pair, merged from found")
 
     def _merge(self, pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """The ids of some pieces by their numbers: one recursive query."""
