@@ -47,6 +47,8 @@ LABELLED = [
     ("https://www.health-service.test/en/2", 0), ("https://forum.chess.test/es/8", 0), ("https://m.station.test/en/301", 0),
     ("https://theory.test/en/44", 0), ("http://www.northern.test/fr/31/", 0), ("https://thread.test/en/52", 0),
     ("https://blog.tradition.test/en/63", 0), ("http://other.test/de/14", 0),
+    ("https://m.chemistry.test/en/27", 0), ("http://m.city-council.test/es/3", 0), ("https://m.music.test/fr/15", 0),
+    ("http://www.painting.test/en/7", 0), ("https://blog.biology.test/de/30", 0), ("https://www.town-hall.test/en/11", 0),
 ]
 
 
