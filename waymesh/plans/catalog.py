@@ -77,8 +77,7 @@ def path_edge_label(spark, folder):
 
 @_query
 def path_steps(spark, folder):
-    legs = derived.path_legs(spark, folder)
-    return steps_of(legs.withColumn("path_id", F.concat_ws("-", "path_id", "leg")))
+    return steps_of(derived.whole_paths(spark, folder))
 
 
 # cleaning
@@ -301,10 +300,10 @@ def cache_stats(spark, folder):
 
 @_query
 def paths_from_string(spark, folder):
-    legs = derived.path_legs(spark, folder)
+    paths = derived.whole_paths(spark, folder)
     as_text = F.concat(F.lit("["), F.array_join(F.col("path").cast("array<string>"), ", "), F.lit("]"))
-    odd = F.col("leg") % 2 == 1
-    docs = legs.select(
+    odd = F.col("path_id") % 2 == 1
+    docs = paths.select(
         "node1", "node2", F.when(odd, F.col("path")).alias("path"), F.when(~odd, as_text).alias("path_text")
     )
     return cache.read_paths(docs).groupBy("node1", "node2", _text()).agg(F.count(F.lit(1)).alias("times"))
@@ -312,14 +311,14 @@ def paths_from_string(spark, folder):
 
 @_query
 def path_export_roundtrip(spark, folder):
-    back = path_files.parse_export(path_files.export_entries(derived.path_legs(spark, folder)))
+    back = path_files.parse_export(path_files.export_entries(derived.whole_paths(spark, folder)))
     return back.groupBy("node1", "node2", _text()).agg(F.count(F.lit(1)).alias("times"), F.countDistinct("path_id").alias("keys"))
 
 
 @_query
 def path_log_parse(spark, folder):
     listed = F.array_join(F.col("path").cast("array<string>"), ", ")
-    lines = derived.path_legs(spark, folder).select(F.concat(
+    lines = derived.whole_paths(spark, folder).select(F.concat(
         F.lit("{_id: 1, node1: "), F.col("node1").cast("string"), F.lit(", node2: "), F.col("node2").cast("string"),
         F.lit(", path: ["), listed, F.lit("]}"),
     ).alias("value"))
@@ -328,8 +327,7 @@ def path_log_parse(spark, folder):
 
 @_query
 def route_geometry(spark, folder):
-    legs = derived.path_legs(spark, folder).withColumn("path_id", F.concat_ws("-", "path_id", "leg"))
-    lines = draw_routes(legs, derived.edges(spark, folder))
+    lines = draw_routes(derived.whole_paths(spark, folder), derived.edges(spark, folder))
     first, last = F.get("line", F.lit(0)), F.try_element_at("line", F.lit(-1))
     return lines.select(
         "path_id", "steps", F.size("line").alias("points"), F.get(first, 0).alias("lat1"), F.get(first, 1).alias("lon1"),

@@ -74,18 +74,12 @@ def path_visits(spark: SparkSession, folder: str) -> DataFrame:
     return ordered_steps(visits, ["path_id"], ["ts", "event_id"], "node").select("path_id", "pos", "node", "next_node")
 
 
-LEG = 64
-
-
-def path_legs(spark: SparkSession, folder: str) -> DataFrame:
-    """The same paths as arrays, in legs of at most 64 nodes: ``path_id, leg, node1, node2, path``."""
-    leg = F.floor(F.col("pos") / LEG).alias("leg")
-    legs = path_visits(spark, folder).groupBy("path_id", leg).agg(
+def whole_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The same paths as arrays, whole: ``path_id, node1, node2, path``."""
+    paths = path_visits(spark, folder).groupBy("path_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda p: p["node"]).alias("path")
     )
-    return legs.select(
-        "path_id", "leg", F.get("path", F.lit(0)).alias("node1"), F.element_at("path", -1).alias("node2"), "path"
-    )
+    return paths.select("path_id", F.get("path", F.lit(0)).alias("node1"), F.element_at("path", -1).alias("node2"), "path")
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

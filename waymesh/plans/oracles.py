@@ -73,10 +73,10 @@ _TABLES: dict[str, str] = {
         select node as u, next_node as v, count(*) as uses,
                count(*) / (select count(distinct path_id) from p_steps)::double as centrality
         from p_edges where next_node is not null group by 1, 2""",
-    "p_legs": """
-        select path_id, pos // 64 as leg, list(node order by pos) as path from p_steps group by 1, 2""",
-    "p_leg_text": """
-        select path_id, leg, path[1] as node1, path[-1] as node2, array_to_string(path, '>') as path from p_legs""",
+    "p_paths": """
+        select path_id, list(node order by pos) as path from p_steps group by 1""",
+    "p_path_text": """
+        select path_id, path[1] as node1, path[-1] as node2, array_to_string(path, '>') as path from p_paths""",
     "q_base": """
         select event_id as e, (select max(p_partkey) // 100 + 1 from part) as n from events""",
     "q_cells": """
@@ -178,8 +178,8 @@ _QUERIES: dict[str, str] = {
     "path_edge_betweenness": "select u, v, uses, centrality from p_uses",
     "path_edge_label": "select '(' || u || ',' || v || ')' as edge, uses, u, v from p_uses",
     "path_steps": """
-        select path_id || '-' || leg as path_id, (pos % 64)::int as pos, node as u, next_node as v from (
-          select path_id, pos, pos // 64 as leg, node, lead(node) over (partition by path_id, pos // 64 order by pos) as next_node
+        select path_id, pos::int as pos, node as u, next_node as v from (
+          select path_id, pos, node, lead(node) over (partition by path_id order by pos) as next_node
           from p_steps) where next_node is not null""",
     "class_speed_mean": "select h as highway, cls as class_speed from r_class",
     "clean_edges": "select u, v, oneway, hw as highway, length_m, speed, cost_c from r_clean",
@@ -259,15 +259,15 @@ _QUERIES: dict[str, str] = {
     "cache_stats": """
         select sum(k)::bigint as entries, count(*) as pairs, max(k)::bigint as most_repeated from (
           select case when n.p_size <= 10 then 2 else 1 end as k from q_cache c join r_nodes n on n.id = c.node1)""",
-    "paths_from_string": "select node1, node2, path, count(*) as times from p_leg_text group by 1, 2, 3",
-    "path_export_roundtrip": "select node1, node2, path, count(*) as times, 1::bigint as keys from p_leg_text group by 1, 2, 3",
-    "path_log_parse": "select node1, node2, path, count(*) as times from p_leg_text group by 1, 2, 3",
+    "paths_from_string": "select node1, node2, path, count(*) as times from p_path_text group by 1, 2, 3",
+    "path_export_roundtrip": "select node1, node2, path, count(*) as times, 1::bigint as keys from p_path_text group by 1, 2, 3",
+    "path_log_parse": "select node1, node2, path, count(*) as times from p_path_text group by 1, 2, 3",
     "route_geometry": """
         select path_id, count(lat1) as steps, (count(lat1) * 2)::int as points,
                arg_min(lat1, pos) filter (lat1 is not null) as lat1, arg_min(lon1, pos) filter (lat1 is not null) as lon1,
                arg_max(lat2, pos) filter (lat1 is not null) as lat2, arg_max(lon2, pos) filter (lat1 is not null) as lon2
-        from (select path_id || '-' || leg as path_id, pos, e.* from (
-                select path_id, pos, pos // 64 as leg, node, lead(node) over (partition by path_id, pos // 64 order by pos) as next_node
+        from (select path_id, pos, e.* from (
+                select path_id, pos, node, lead(node) over (partition by path_id order by pos) as next_node
                 from p_steps) s left join r_edges e on e.u = node and e.v = next_node where next_node is not null)
         group by 1""",
     "attach_centrality": """
