@@ -14,6 +14,7 @@ from waymesh.operators.geometry import route_geometry as draw_routes
 from waymesh.operators.requests import answer_requests as answer
 from waymesh.operators.requests import misses_of, parse_requests as parse
 from waymesh.operators.steps import ordered_steps, path_steps as steps_of
+from waymesh.operators.tiles import tile_edges
 from waymesh.plans import derived, network, routes
 from waymesh.runtime import store
 from waymesh.sources import messages, paths as path_files
@@ -24,6 +25,9 @@ _QUERIES: dict[str, Query] = {}
 #: Size of the node sample of the path queries (a parameter of the sampling operator).
 SAMPLE = 5
 
+#: Edges per tile of the queries that run a search over many tiles; production tiles hold 65,536.
+SMALL_TILE, WINDOW_TILE = 1024, 500
+
 
 def _query(fn: Query) -> Query:
     _QUERIES[fn.__name__] = fn
@@ -274,6 +278,33 @@ def route_pairs(spark, folder):
     return answers.select("node1", "node2", "cost_c", "hops", _text())
 
 
+def _tiled(spark: SparkSession, folder: str):
+    """The edges cut by place into many small tiles."""
+    return tile_edges(_plain(spark, folder), derived.nodes(spark, folder), per_tile=SMALL_TILE)
+
+
+@_query
+def sssp_tiled(spark, folder):
+    sources = graph.node_sample(derived.nodes(spark, folder), SAMPLE, "w").select(F.col("id").alias("source"))
+    return shortest.sssp(_tiled(spark, folder), sources)
+
+
+@_query
+def shortest_paths_tiled(spark, folder):
+    pairs = graph.sample_pairs(derived.nodes(spark, folder), SAMPLE, "w")
+    found = shortest.shortest_paths(_tiled(spark, folder), pairs)
+    return found.select("node1", "node2", "cost_c", "hops", _text())
+
+
+@_query
+def route_pairs_tiled(spark, folder):
+    pairs = store(graph.sample_pairs(derived.nodes(spark, folder), SAMPLE, "w")).df
+    tiles = _tiled(spark, folder)
+    known = store(shortest.shortest_paths(tiles, pairs.filter("node1 < node2"))).df
+    answers, _ = shortest.route_pairs(pairs, tiles, known)
+    return answers.select("node1", "node2", "cost_c", "hops", _text())
+
+
 @_query
 def publish_importance(spark, folder):
     edges = _plain(spark, folder)
@@ -338,18 +369,44 @@ def route_geometry(spark, folder):
 # exact centrality
 
 
-def _rounded(column: str):
-    return F.round(column, 6).alias(column)
+def _rounded(column: str, digits: int = 6):
+    return F.round(column, digits).alias(column)
 
 
 @_query
 def edge_betweenness(spark, folder):
-    return between.edge_betweenness(_plain(spark, folder)).select("u", "v", _rounded("credit"), "betweenness")
+    found = between.edge_betweenness(_plain(spark, folder))
+    return found.select("u", "v", _rounded("credit"), _rounded("betweenness", 9))
 
 
 @_query
 def node_betweenness(spark, folder):
-    return between.node_betweenness(_plain(spark, folder)).select("node", _rounded("credit"), "betweenness")
+    found = between.node_betweenness(_plain(spark, folder))
+    return found.select("node", _rounded("credit"), _rounded("betweenness", 9))
+
+
+def _window_tiles(spark: SparkSession, folder: str):
+    """The sub-network of the map window, both directions, cut into many tiles."""
+    sub = graph.simple_edges(edges_in_box(spark, folder), directed=False)
+    both = sub.unionByName(sub.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost_c"))
+    return tile_edges(both, derived.nodes(spark, folder), per_tile=WINDOW_TILE)
+
+
+@_query
+def edge_betweenness_window(spark, folder):
+    found = between.edge_betweenness(_window_tiles(spark, folder), directed=False)
+    return found.select("u", "v", _rounded("credit"), _rounded("betweenness", 9))
+
+
+@_query
+def node_betweenness_window(spark, folder):
+    found = between.node_betweenness(_window_tiles(spark, folder), directed=False)
+    return found.select("node", _rounded("credit"), _rounded("betweenness", 9))
+
+
+@_query
+def all_pairs_score_window(spark, folder):
+    return between.all_pairs_edge_score(_window_tiles(spark, folder)).select("u", "v", _rounded("score"))
 
 
 @_query

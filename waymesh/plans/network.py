@@ -54,14 +54,15 @@ def with_way_tags(ways: DataFrame) -> DataFrame:
 def drivable_network(ways: DataFrame, nodes: DataFrame, box: Box | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and undirected road rows of the largest connected drivable network in a box.
 
-    ``ways`` and ``nodes`` come from :mod:`waymesh.sources.osm`. The result feeds
-    ``routable`` and ``directed_edges``.
+    ``ways`` and ``nodes`` come from :mod:`waymesh.sources.osm`. A road whose class has no
+    known speed stays, with a NULL cost: it joins parts of the network all the same.
+    The result feeds ``routing_edges``.
     """
     raw = way_edges(drivable_ways(with_way_tags(ways)), nodes.select("id", "lat", "lon"))
     if box is not None:
         raw = edges_in_box(nodes, raw, box)
     # the extract is parsed and joined once, the clean table read several times below
-    edges = store(routable(clean_edges(store(raw).df))).df
+    edges = store(clean_edges(store(raw).df)).df
     used = referenced_nodes(nodes.select("id", "lat", "lon"), edges)
     return keep_largest(used, edges)
 

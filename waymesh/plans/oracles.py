@@ -160,7 +160,7 @@ _TABLES: dict[str, str] = {
         where not (v = u + 1 and u % 100 in (9, 29, 59))""",
     "o_drive": "select * from o_raw where hw <> 'service'",
     "o_class": "select hw as h, trunc(avg(speed))::int as cls from o_drive where speed is not null group by 1",
-    "o_clean": "select *, coalesce(speed, cls) as used from o_drive left join o_class on h = hw where coalesce(speed, cls) is not null",
+    "o_clean": "select *, coalesce(speed, cls) as used from o_drive left join o_class on h = hw",
     "o_links": "select u, v from o_clean union all select v, u from o_clean union all select u, u from o_clean union all select v, v from o_clean",
     "o": """
         select u, u from o_links group by 1
@@ -169,7 +169,52 @@ _TABLES: dict[str, str] = {
         where o.m < r.m group by 1""",
 }
 
+# shortest paths of all pairs inside the map window, source by source: distances, then numbers of paths forward
+# and what depends on a node backward, both hop by hop along the edges some shortest path uses
+_TABLES |= {
+    "w_sub": """
+        select least(u, v) as u, greatest(u, v) as v, min(cost_c) as cost_c
+        from r_edges join r_nodes a on a.id = u join r_nodes b on b.id = v, r_middle m
+        where a.lat between m.s and m.n and a.lon between m.w and m.e
+          and b.lat between m.s and m.n and b.lon between m.w and m.e group by 1, 2""",
+    "w_edges": "select u, v, cost_c from w_sub union all select v, u, cost_c from w_sub",
+    "w_nodes": "select distinct u as id from w_edges",
+    "w_size": "select count(*) as n from w_nodes",
+    "w_d": """
+        select id, id, 0::bigint, 0::bigint from w_nodes
+        union
+        select s, v, k // 1000000, k % 1000000 from (
+          select d.s, b.v, min((d.c + b.cost_c) * 1000000 + d.h + 1) as k
+          from w_d d join w_edges b on d.n = b.u left join recurring.w_d r on r.s = d.s and r.n = b.v
+          where (d.c + b.cost_c) * 1000000 + d.h + 1 < coalesce(r.c * 1000000 + r.h, 9223372036854775807)
+          group by 1, 2)""",
+    "w_tight": """
+        select a.s, e.u, e.v from w_d a join w_edges e on e.u = a.n join w_d b on b.s = a.s and b.n = e.v
+        where a.c + e.cost_c = b.c""",
+    "w_p": """
+        select id, id, 1.0::double, 0 from w_nodes
+        union all
+        select p.s, t.v, sum(p.k), max(p.h) + 1 from w_p p join w_tight t on t.s = p.s and t.u = p.n group by 1, 2""",
+    "w_paths": "select s, n, sum(k) as k from w_p group by 1, 2",
+    "w_share": """
+        select t.s, t.u, t.v, a.k / b.k as f from w_tight t
+        join w_paths a on a.s = t.s and a.n = t.u join w_paths b on b.s = t.s and b.n = t.v""",
+    "w_x": """
+        select s, n, 1.0::double, 0 from w_d where s <> n
+        union all
+        select x.s, t.u, sum(x.x * t.f), max(x.r) + 1 from w_x x join w_share t on t.s = x.s and t.v = x.n group by 1, 2""",
+    "w_tree": """
+        select b.s, b.n, min(e.u) as prev from w_d b join w_edges e on e.v = b.n join w_d a on a.s = b.s and a.n = e.u
+        where b.n <> b.s and a.c + e.cost_c = b.c and a.h + 1 = b.h group by 1, 2""",
+    "w_walk": """
+        select s, n, prev from w_tree
+        union all
+        select w.s, t.n, t.prev from w_walk w join w_tree t on t.s = w.s and t.n = w.prev""",
+    "w_last": "select s, arg_max(c, n) as far from w_d group by 1 having max(n) <> s",
+}
+
 _HEADS = {
+    "w_d": "w_d(s, n, c, h) using key (s, n)", "w_p": "w_p(s, n, k, h)", "w_x": "w_x(s, n, x, r)", "w_walk": "w_walk(s, n, prev)",
     "d": "d(s, n, c, h) using key (s, n)", "d_walk": "d_walk(s, t, here, pos, prev)",
     "c": "c(n, m) using key (n)", "t": "t(n, m) using key (n)", "o": "o(n, m) using key (n)", "x_walk": "x_walk",
 }
@@ -270,6 +315,16 @@ _QUERIES: dict[str, str] = {
                 select path_id, pos, node, lead(node) over (partition by path_id order by pos) as next_node
                 from p_steps) s left join r_edges e on e.u = node and e.v = next_node where next_node is not null)
         group by 1""",
+    "edge_betweenness_window": """
+        select least(t.u, t.v) as u, greatest(t.u, t.v) as v, round(sum(x.x * t.f), 6) as credit,
+               round(sum(x.x * t.f) / max(w_size.n * (w_size.n - 1)), 9) as betweenness
+        from w_x x join w_share t on t.s = x.s and t.v = x.n, w_size group by 1, 2""",
+    "node_betweenness_window": """
+        select x.n as node, round(sum(x.x), 6) as credit, round(sum(x.x) / max((w_size.n - 1) * (w_size.n - 2)), 9) as betweenness
+        from w_x x, w_size where r > 0 and x.n <> x.s group by 1""",
+    "all_pairs_score_window": """
+        select least(w.n, prev) as u, greatest(w.n, prev) as v, round(sum(1.0::double / far) * max(w_size.n - 2), 6) as score
+        from w_walk w join w_last l on l.s = w.s, w_size where prev is not null group by 1, 2""",
     "attach_centrality": """
         select e.u, e.v, e.cost_c, coalesce(p.centrality, e.centrality) as centrality
         from r_central e left join p_uses p on p.u = e.u and p.v = e.v""",
@@ -309,6 +364,10 @@ _QUERIES: dict[str, str] = {
         select event_id, list_reduce(list_prepend(value / 1000, list_transform(range(100), lambda i: 0.0::double)),
                lambda r, i: r * r - 0.5::double) as result from events""",
 }
+_QUERIES |= {
+    "sssp_tiled": _QUERIES["sssp_sample"], "shortest_paths_tiled": _QUERIES["shortest_paths_sample"],
+    "route_pairs_tiled": _QUERIES["route_pairs"],
+}
 _QUERIES["iterate_map_vectorised"] = _QUERIES["iterate_map_native"]
 
 _TABLES["q_all_spots"] = "select lat1 as lat, lng1 as lng from q_requests union select lat2, lng2 from q_requests"
