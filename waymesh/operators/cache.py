@@ -26,8 +26,14 @@ def read_paths(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_per_pair(cache: DataFrame) -> DataFrame:
-    """One entry per pair: the cheapest path, then the smallest other columns."""
+def one_per_pair(cache: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One entry per pair: the cheapest path, then the smallest other columns.
+
+    With ``asked`` (``node1, node2``) only the pairs asked for are looked at: a batch
+    never groups the whole cache.
+    """
+    if asked is not None:
+        cache = cache.join(asked.select("node1", "node2").distinct(), ["node1", "node2"], "left_semi")
     rest = [c for c in cache.columns if c not in ("node1", "node2")]
     first = [c for c in ("cost_c", "hops") if c in rest]
     rank = first + [c for c in rest if c not in first]
@@ -37,7 +43,7 @@ def one_per_pair(cache: DataFrame) -> DataFrame:
 
 def cache_hits(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     """Requested pairs with their cached path."""
-    return pairs.join(one_per_pair(cache), ["node1", "node2"])
+    return pairs.join(one_per_pair(cache, pairs), ["node1", "node2"])
 
 
 def cache_misses(pairs: DataFrame, cache: DataFrame) -> DataFrame:

@@ -60,16 +60,20 @@ def answer_requests(requests: DataFrame, nodes: DataFrame | NodeIndex, cache: Da
 
     ``status``: ``found``, ``queued`` (to be computed) or ``invalid`` (no two places).
     """
-    placed = locate_requests(requests, nodes)
-    known = one_per_pair(cache)
+    placed = store(locate_requests(requests, nodes)).df
+    # requests without two places stay out of the join: their NULL keys would all meet in one task
+    located = F.col("node1").isNotNull() & F.col("node2").isNotNull()
+    valid = placed.filter(located)
+    known = one_per_pair(cache, valid)
     extra = [c for c in known.columns if c not in ("node1", "node2")]
-    status = (
-        F.when(F.col("node1").isNull() | F.col("node2").isNull(), "invalid")
-        .when(F.col("hit").isNotNull(), "found").otherwise("queued")
-    )
-    return placed.join(known.withColumn("hit", F.lit(True)), ["node1", "node2"], "left").select(
+    status = F.when(F.col("hit").isNotNull(), "found").otherwise("queued")
+    answered = valid.join(known.withColumn("hit", F.lit(True)), ["node1", "node2"], "left").select(
         *requests.columns, *extra, status.alias("status")
     )
+    invalid = placed.filter(~located).select(
+        *requests.columns, *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in extra], F.lit("invalid").alias("status")
+    )
+    return answered.unionByName(invalid)
 
 
 def misses_of(answers: DataFrame) -> DataFrame:
