@@ -117,3 +117,11 @@ def test_crowded_places_are_divided(spark, monkeypatch, per_join):
         links = [(r.u, r.v) for r in close_links(df, reach).collect()]
         assert find_components(range(180), links) == want
         assert len(links) < 400
+
+
+def test_close_nodes_at_the_antimeridian_and_near_a_pole(spark):
+    nodes = [(1, 10.0, 179.99995), (2, 10.0, -179.99995), (3, 89.9, 10.0), (4, 89.9, 10.05), (5, 89.9, 190.0), (6, 10.0, 0.0)]
+    ndf = spark.createDataFrame(nodes, "id long, lat double, lon double")
+    merged, _ = consolidate(ndf, spark.createDataFrame([(1, 6, 5)], "u long, v long, cost_c long"), tol_m=10)
+    got = {r.id: (round(r.lat, 6), round(abs(r.lon), 6), r.merged) for r in merged.collect()}
+    assert got == {1: (10.0, 180.0, 2), 3: (89.9, 10.025, 2), 5: (89.9, 190.0, 1), 6: (10.0, 0.0, 1)}

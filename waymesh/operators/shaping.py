@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from math import ceil, cos, radians
+from functools import reduce
+from itertools import product
+from math import ceil, pi, sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,101 +78,104 @@ def simplify_chains(edges: DataFrame) -> DataFrame:
 
 SPLIT = 4
 PAIRS_PER_JOIN = 4096
+AXES = ("x", "y", "z")
+_ROUNDING_M = 1e-6
 _MAX_DEPTH = 16
 
 
 def close_links(nodes: DataFrame, reach_m: float) -> DataFrame:
     """Links that join all nodes within ``reach_m`` of each other into components.
 
-    Not every close pair is written: nodes of one grid cell, whose diagonal is at most
-    ``reach_m``, hang on the cell's smallest id, and two neighbouring cells need a
-    single link. Cells are compared part by part: parts entirely within reach are
-    linked as they are, parts entirely out of reach are dropped. Of the rest, parts with
-    few nodes are measured node by node and crowded ones are divided again, so a place
-    that holds a large share of all nodes is never paired with itself or another.
+    Places are points in space, in metres, so poles and the antimeridian are like any
+    other place; the reach is taken as a chord. Not every close pair is written: nodes of
+    one grid cell, whose diagonal is below the reach, hang on the cell's smallest id, and two
+    neighbouring cells need a single link. Cells are compared part by part: parts entirely
+    within reach are linked as they are, parts entirely out of reach are dropped. Of the rest,
+    parts with few nodes are measured node by node and crowded ones are divided again, so a
+    place that holds a large share of all nodes is never paired with itself or another.
     """
+    around = F.cos(F.radians("lat")) * EARTH_RADIUS_M
     spots = store(
-        nodes.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon"),
-        south=F.min("lat"), north=F.max("lat"), farthest=F.max(F.abs("lat")),
+        nodes.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
+            "id", "lat", "lon", (around * F.cos(F.radians("lon"))).alias("x"), (around * F.sin(F.radians("lon"))).alias("y"),
+            (F.sin(F.radians("lat")) * EARTH_RADIUS_M).alias("z"),
+        )
     )
     if not spots.rows:
         return nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    degree_m = EARTH_RADIUS_M * radians(1.0)
-    south, north, farthest = spots.stats["south"], spots.stats["north"], spots.stats["farthest"]
-    nearest = 0.0 if south <= 0 <= north else min(abs(south), abs(north))
-    most_cos, least_cos = cos(radians(nearest)), max(cos(radians(min(89.0, farthest))), 1e-3)
-    side = reach_m / 1.5  # 1.5 > sqrt(2): the diagonal stays below the reach
-    step_lat, step_lon = side / degree_m, side / (degree_m * most_cos)
-    far_y, far_x = ceil(reach_m / side), ceil(reach_m / (step_lon * degree_m * least_cos))
+    chord = 2 * EARTH_RADIUS_M * sin(min(reach_m / (2 * EARTH_RADIUS_M), pi / 2))
+    side = chord / 1.8  # 1.8 > sqrt(3): the diagonal stays below the reach
+    far = ceil(chord / side)
 
     def grid(name: str, parts: int):
-        return [
-            F.floor(F.col("lat") / (step_lat / parts)).cast("bigint").alias(f"{name}y"),
-            F.floor(F.col("lon") / (step_lon / parts)).cast("bigint").alias(f"{name}x"),
-        ]
+        return [F.floor(F.col(axis) / (side / parts)).cast("bigint").alias(f"{name}{axis}") for axis in AXES]
 
+    cell, part = [f"c{axis}" for axis in AXES], [f"q{axis}" for axis in AXES]
     placed = store(spots.df.select("*", *grid("c", 1))).df
-    heads = placed.groupBy("cy", "cx").agg(F.min("id").alias("head"))
-    links = placed.join(heads, ["cy", "cx"]).filter("id != head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    heads = placed.groupBy(*cell).agg(F.min("id").alias("head"))
+    links = placed.join(heads, cell).filter("id != head").select(F.col("head").alias("u"), F.col("id").alias("v"))
 
     def boxes(depth: int, prefix: str) -> DataFrame:
         """Parts of the cells: node count, smallest id and the box the nodes really fill."""
-        table = placed.select("*", *grid("q", SPLIT**depth)).groupBy("cy", "cx", "qy", "qx").agg(
-            F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("lat").alias("s"), F.max("lat").alias("t"),
-            F.min("lon").alias("w"), F.max("lon").alias("e"),
+        ends = [(low(axis).alias(f"{name}{axis}")) for axis in AXES for name, low in (("l", F.min), ("h", F.max))]
+        table = placed.select("*", *grid("q", SPLIT**depth)).groupBy(*cell, *part).agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("lat").alias("lat"), F.min("lon").alias("lon"), *ends
         )
         return table.select(*[F.col(c).alias(prefix + c) for c in table.columns])
 
     def compared(pairs: DataFrame):
-        gap_lat = F.greatest(F.lit(0.0), F.col("bs") - F.col("at"), F.col("as") - F.col("bt"))
-        gap_lon = F.greatest(F.lit(0.0), F.col("bw") - F.col("ae"), F.col("aw") - F.col("be"))
-        span_lat = F.greatest("bt", "at") - F.least("bs", "as")
-        span_lon = F.greatest("be", "ae") - F.least("bw", "aw")
-        most = F.lit(degree_m * (1 + 1e-9)) * F.sqrt(span_lat**2 + (span_lon * most_cos) ** 2)
-        least = F.lit(degree_m * 0.999) * F.greatest(gap_lat, gap_lon * least_cos)
-        single = (F.col("as") == F.col("at")) & (F.col("aw") == F.col("ae")) & (F.col("bs") == F.col("bt")) & (F.col("bw") == F.col("be"))
-        exact = geo_distance("as", "aw", "bs", "bw") <= reach_m
+        def length(parts: list):
+            return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
+
+        gaps = [F.greatest(F.lit(0.0), F.col(f"bl{i}") - F.col(f"ah{i}"), F.col(f"al{i}") - F.col(f"bh{i}")) for i in AXES]
+        spans = [F.greatest(f"bh{i}", f"ah{i}") - F.least(f"bl{i}", f"al{i}") for i in AXES]
+        least, most = length(gaps) - _ROUNDING_M, length(spans) + _ROUNDING_M
+        single = reduce(lambda a, b: a & b, [F.col(f"{p}l{i}") == F.col(f"{p}h{i}") for p in "ab" for i in AXES])
+        exact = geo_distance("alat", "alon", "blat", "blon") <= reach_m
         return pairs.select(
-            *[c for c in pairs.columns if c[1:] in ("cy", "cx", "qy", "qx")],
+            *[c for c in pairs.columns if c[1:] in (*cell, *part)],
             F.col("aid").alias("u"), F.col("bid").alias("v"), (F.col("an") * F.col("bn") > PAIRS_PER_JOIN).alias("crowded"),
-            F.when(single, exact).otherwise(most <= reach_m).alias("sure"),
-            F.when(single, exact).otherwise(least <= reach_m).alias("maybe"),
+            F.when(single, exact).otherwise(most <= chord).alias("sure"),
+            F.when(single, exact).otherwise(least <= chord).alias("maybe"),
         ).filter("maybe")
 
-    ahead = [(dy, dx) for dy in range(far_y + 1) for dx in range(-far_x, far_x + 1) if dy > 0 or dx > 0]
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ahead])
+    steps = range(-far, far + 1)
+    ahead = [d for d in product(steps, repeat=len(AXES)) if d > (0,) * len(AXES)]
+    shifts = F.array(*[F.struct(*[F.lit(n).alias(axis) for n, axis in zip(d, AXES, strict=True)]) for d in ahead])
     mine = boxes(1, "a").select("*", F.explode(shifts).alias("d")).withColumns(
-        {"bcy": F.col("acy") + F.col("d.dy"), "bcx": F.col("acx") + F.col("d.dx")}
+        {f"bc{axis}": F.col(f"ac{axis}") + F.col(f"d.{axis}") for axis in AXES}
     ).drop("d")
-    met = store(compared(mine.join(boxes(1, "b"), ["bcy", "bcx"])), crowded=F.count_if("crowded"))
-    cells = ["acy", "acx", "bcy", "bcx"]
+    met = store(compared(mine.join(boxes(1, "b"), [f"b{c}" for c in cell])), crowded=F.count_if("crowded"))
+    cells = [f"{p}{c}" for p in "ab" for c in cell]
     for depth in range(1, _MAX_DEPTH + 1):
         sure = met.df.filter("sure").groupBy(*cells).agg(F.min(F.struct("u", "v")).alias("l"))
         links = links.unionByName(sure.select("l.*"))
         left = met.df.filter("NOT sure").join(sure.select(*cells), cells, "left_anti")
         parts = placed.select("*", *grid("q", SPLIT**depth))
-        of_a = parts.select(*[F.col(c).alias(f"a{c}") for c in ("cy", "cx", "qy", "qx", "id", "lat", "lon")])
-        of_b = parts.select(*[F.col(c).alias(f"b{c}") for c in ("cy", "cx", "qy", "qx", "id", "lat", "lon")])
+        of_a, of_b = (
+            parts.select(*[F.col(c).alias(f"{p}{c}") for c in (*cell, *part, "id", "lat", "lon")]) for p in "ab"
+        )
         near = geo_distance("alat", "alon", "blat", "blon") <= reach_m
         measured = (
             left.filter("NOT crowded").drop("u", "v")
-            .join(of_a, ["acy", "acx", "aqy", "aqx"]).join(of_b, ["bcy", "bcx", "bqy", "bqx"]).filter(near)
+            .join(of_a, [f"a{c}" for c in (*cell, *part)]).join(of_b, [f"b{c}" for c in (*cell, *part)]).filter(near)
             .groupBy(*cells).agg(F.min(F.struct(F.col("aid").alias("u"), F.col("bid").alias("v"))).alias("l"))
         )
         links = links.unionByName(measured.select("l.*"))
         if not met.stats["crowded"]:
             return links
         crowded = left.filter("crowded").select(
-            *cells, *[F.col(c).alias(f"{c}_up") for c in ("aqy", "aqx", "bqy", "bqx")]
+            *cells, *[F.col(f"{p}{c}").alias(f"{p}{c}_up") for p in "ab" for c in part]
         )
 
         def finer(prefix: str) -> DataFrame:
-            ups = {f"{prefix}{q}_up": F.floor(F.col(f"{prefix}{q}") / SPLIT) for q in ("qy", "qx")}
+            ups = {f"{prefix}{q}_up": F.floor(F.col(f"{prefix}{q}") / SPLIT) for q in part}
             return boxes(depth + 1, prefix).withColumns(ups)
 
-        pairs = crowded.join(finer("a"), ["acy", "acx", "aqy_up", "aqx_up"]).join(
-            finer("b"), ["bcy", "bcx", "bqy_up", "bqx_up"]
-        )
+        def up(prefix: str) -> list[str]:
+            return [f"{prefix}{c}" for c in cell] + [f"{prefix}{q}_up" for q in part]
+
+        pairs = crowded.join(finer("a"), up("a")).join(finer("b"), up("b"))
         met = store(compared(pairs), crowded=F.count_if("crowded"))
     raise RuntimeError("nodes at different places share the finest part")
 
@@ -178,13 +183,17 @@ def close_links(nodes: DataFrame, reach_m: float) -> DataFrame:
 def consolidate(nodes: DataFrame, edges: DataFrame, tol_m: float) -> tuple[DataFrame, DataFrame]:
     """Merge intersections whose surroundings of ``tol_m`` touch, transitively.
 
-    Merged nodes take the smallest id and the mean coordinates. Edges are rewired,
-    loops dropped, and of several edges of a pair the cheapest stays.
+    Merged nodes take the smallest id and the mean coordinates (on the shorter way round
+    where they lie on both sides of the antimeridian). Edges are rewired, loops dropped,
+    and of several edges of a pair the cheapest stays.
     """
     groups = store(connected_components(close_links(nodes, 2 * tol_m), nodes)).df
     merged = nodes.join(groups, "id").groupBy(F.col("component").alias("id")).agg(
-        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("merged")
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("merged"),
+        (F.max("lon") - F.min("lon") > 180).alias("across"), F.avg(F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon"))).alias("east"),
     )
+    east = F.when(F.col("east") > 180, F.col("east") - 360).otherwise(F.col("east"))
+    merged = merged.withColumn("lon", F.when(F.col("across"), east).otherwise(F.col("lon"))).drop("across", "east")
     new_u = groups.select(F.col("id").alias("u"), F.col("component").alias("nu"))
     new_v = groups.select(F.col("id").alias("v"), F.col("component").alias("nv"))
     rewired = edges.join(new_u, "u").join(new_v, "v").withColumns({"u": F.col("nu"), "v": F.col("nv")}).drop("nu", "nv")
