@@ -42,9 +42,10 @@ def test_osm_xml(spark, tmp_path):
 def test_network_from_extract(spark, tmp_path):
     nodes, ways = extract(spark, tmp_path)
     kept, edges = drivable_network(ways, nodes)
-    got = {(r.u, r.v, r.speed, round(r.length_m)) for r in edges.collect()}
-    # the class mean fills way 101; nothing is known about the tertiary road, so it drops out
+    got = {(r.u, r.v, r.speed, round(r.length_m)) for r in edges.filter("speed IS NOT NULL").collect()}
+    # the class mean fills way 101; nothing is known about the tertiary road: it stays, without a cost
     assert got == {(1, 2, 40, 1112), (2, 3, 40, 1112), (3, 4, 40, 772)}
+    assert [(r.u, r.v, r.cost_c) for r in edges.filter("speed IS NULL").collect()] == [(4, 1, None)]
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 4]
     assert routing_edges(edges).count() == 6
     _, boxed = drivable_network(ways, nodes, Box(46.005, -118.0, 47.0, -116.0))
@@ -152,3 +153,15 @@ def test_publish_misses(spark, tmp_path):
     messages.publish_misses(pairs, "text", path=str(tmp_path / "topic"))
     messages.publish_misses(pairs, "text", path=str(tmp_path / "topic"))
     assert [r.value for r in spark.read.text(str(tmp_path / "topic")).collect()] == ['{"node1":1,"node2":2}'] * 2
+
+
+def test_a_road_without_speed_joins_two_parts(spark):
+    ways = spark.createDataFrame(
+        [(1, [1, 2], {"highway": "primary", "maxspeed": "40 mph"}), (2, [2, 3], {"highway": "tertiary"}),
+         (3, [3, 4], {"highway": "primary", "maxspeed": "30 mph"})],
+        "way_id long, nd array<long>, tags map<string,string>",
+    )
+    nodes = spark.createDataFrame([(i, 46.0 + i / 100, -117.0) for i in range(1, 5)], "id long, lat double, lon double")
+    kept, edges = drivable_network(ways, nodes)
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 4]
+    assert sorted((r.u, r.v, r.cost_c is None) for r in edges.collect()) == [(1, 2, False), (2, 3, True), (3, 4, False)]
