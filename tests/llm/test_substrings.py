@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -28,6 +29,11 @@ def test_against_counting_all_windows(spark, length, crowd):
     want = Counter((r[0], *b) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows], length), strict=True))
     got = substrings.remove_repeats(frame(spark), length=length, crowd=crowd).collect()
     assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, bytes(g.kept)) for g in got) == want
+    figures = substrings.repeat_figures(frame(spark), length=length, crowd=crowd).collect()
+    digests = Counter()
+    for (own, size, removed, spans, kept), n in want.items():
+        digests[own, size, removed, spans, hashlib.sha256(kept).hexdigest()] += n
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in figures) == digests
 
 
 def test_suffixes_are_sorted_to_the_depth():

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymesh.llm.common import slices, text_key, text_of, utf8_length
 from waymesh.llm.exact import drop_copies
-from waymesh.runtime import BROADCAST_ROWS, Stored, ship, store
+from waymesh.runtime import ship, store
 
 #: Length of the k-grams whose hashes choose anchors.
 GRAM = 48
@@ -41,8 +41,6 @@ GRAM = 48
 SHALLOW = 32
 #: Distinct contexts of an anchor beyond which its windows are dealt out one by one.
 CROWD = 20_000
-#: Entries (numbers in the arrays of all rows) up to which a table of few rows is broadcast.
-_BROADCAST_ENTRIES = 2_000_000
 #: Bytes of text that are hashed at a time; places within fit in 24 bits.
 _CHUNK = 8_000_000
 _PLACE = np.uint64(0xFFFFFF)
@@ -257,10 +255,10 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, group: np.ndarr
 # ---- on Spark ------------------------------------------------------------------------------------
 
 
-def _perhaps_broadcast(kept: Stored) -> DataFrame:
-    """A counted table, marked for broadcast if both its rows and the entries in them are few."""
-    few = kept.rows <= BROADCAST_ROWS and (kept.stats["entries"] or 0) <= _BROADCAST_ENTRIES
-    return F.broadcast(kept.df) if few else kept.df
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``key, body``: every text once."""
+    bodies = docs.select(F.lit(0).alias("id"), text_of(text).alias("body"))
+    return drop_copies(bodies, "id", "body").select(text_key(F.col("body")).alias("key"), "body")
 
 
 def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
@@ -332,26 +330,21 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
     return dealt.mapInPandas(work, "h bigint, c binary, runs array<struct<a:int,b:int>>")
 
 
-def repeated_ranges(docs: DataFrame, text: str = "text", length: int = 200, crowd: int = CROWD) -> DataFrame:
-    """``key, ranges`` of the distinct texts with repeated bytes: window starts as (first, last)."""
-    ship(docs.sparkSession)
-    whole = F.struct(F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))
-    body = text_of(text)
-    copied = (
-        docs.select(text_key(body).alias("key"), utf8_length(body).alias("n")).filter(F.col("n") >= length)
-        .groupBy("key", "n").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", whole.alias("range"))
-    )
-    bodies = docs.select(F.lit(0).alias("id"), body.alias("body"))
-    texts = drop_copies(bodies, "id", "body").select(text_key(F.col("body")).alias("key"), "body")
+def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) -> DataFrame:
+    """``key, ranges`` of the distinct ``texts`` with repeated windows: window starts as (first, last).
+
+    The contexts are cut out of the texts for each of their two uses instead of being written: the
+    texts are shuffled by key for it once, and the caller's join with the ranges uses that shuffle too.
+    """
+    ship(texts.sparkSession)
     table = store(_anchor_table(texts, length)).df
     again = table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
     every = table.select("key", F.explode(F.arrays_zip("h", "first", "last")).alias("a")).select("key", "a.*")
     chosen = store(
-        every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs")),
-        entries=F.sum(F.size("runs")),
-    )
+        every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
+    ).df
     # contexts with the texts they come from, and each distinct one once
-    found = store(_contexts(texts, _perhaps_broadcast(chosen), length)).df
+    found = _contexts(texts, chosen, length)
     distinct = found.groupBy("h", "c").agg(
         F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows"), F.first("context").alias("context")
     )
@@ -375,10 +368,16 @@ def repeated_ranges(docs: DataFrame, text: str = "text", length: int = 200, crow
     placed = found.select("h", "c", "key", "first").join(marks, ["h", "c"]).select(
         "key", "first", F.explode("runs").alias("r")
     ).select("key", F.struct((F.col("first") + F.col("r.a")).alias("first"), (F.col("first") + F.col("r.b")).alias("last")).alias("range"))
-    return placed.unionByName(copied).groupBy("key").agg(F.collect_list("range").alias("ranges"))
+    return placed.groupBy("key").agg(F.collect_list("range").alias("ranges"))
+
 
+def _copied(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """``key`` of the texts that stand in several rows and are long enough to be repeated as a whole."""
+    keys = docs.select(text_key(text_of(text)).alias("key"), utf8_length(text_of(text)).alias("n"))
+    return keys.filter(F.col("n") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").select("key")
 
-def _removed(n: int, ranges, length: int) -> list[tuple[int, int]]:
+
+def _removed(ranges, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes under repeated windows."""
     runs: list[tuple[int, int]] = []
     for first, last in sorted((r["first"], r["last"] + length) for r in ranges):
@@ -389,27 +388,59 @@ def _removed(n: int, ranges, length: int) -> list[tuple[int, int]]:
     return runs
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = CROWD) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
+def _without(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
+    """``key, n_removed, n_spans, kept`` of the texts that have ranges."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, batch["body"].str.len()):
                 rows = []
-                for own, body, ranges in zip(part["id"], part["body"], part["ranges"], strict=True):
+                for key, body, found in zip(part["key"], part["body"], part["ranges"], strict=True):
                     data = body.encode()
-                    runs = [] if ranges is None else _removed(len(data), ranges, length)
-                    kept, at = [], 0
+                    runs, kept, at = _removed(found, length), [], 0
                     for begin, end in runs:
                         kept.append(data[at:begin])
                         at = end
                     kept.append(data[at:])
-                    rows.append((own, len(data), sum(e - b for b, e in runs), len(runs), b"".join(kept)))
-                frame = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-                yield frame.assign(id=part["id"].to_numpy())
-
-    ranges = _perhaps_broadcast(store(repeated_ranges(docs, text, length, crowd), entries=F.sum(F.size("ranges"))))
-    rows = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("body")).withColumn("key", text_key(F.col("body")))
-    kind = docs.schema[id].dataType.simpleString()
-    return rows.join(ranges, "key", "left").select("id", "body", "ranges").mapInPandas(
-        work, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    ).withColumnRenamed("id", id)
+                    rows.append((key, sum(e - b for b, e in runs), len(runs), b"".join(kept)))
+                yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
+
+    return texts.join(ranges, "key").select("key", "body", "ranges").mapInPandas(
+        work, "key binary, n_removed bigint, n_spans bigint, kept binary"
+    )
+
+
+def _per_row(rows: DataFrame, docs: DataFrame, changed: DataFrame, text: str, length: int, kept: str, nothing) -> DataFrame:
+    """Rows (``id, key, n_bytes, <kept>``) with what their text lost; untouched ones keep ``<kept>``."""
+    whole = _copied(docs, text, length).withColumn("whole", F.lit(True))
+    after = changed.withColumnRenamed(kept, "after")
+    joined = rows.join(after, "key", "left").join(whole, "key", "left")
+    copied = F.col("whole").isNotNull()
+    none = F.lit(0).cast("bigint")
+    return joined.select(
+        "id", "n_bytes",
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(copied, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(copied, nothing).otherwise(F.coalesce("after", kept)).alias(kept),
+    )
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = CROWD) -> DataFrame:
+    """``id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
+    texts = distinct_texts(docs, text)
+    changed = _without(texts, repeated_ranges(texts, length, crowd), length)
+    body = text_of(text)
+    rows = docs.select(F.col(f"`{id}`").alias("id"), text_key(body).alias("key"), utf8_length(body).alias("n_bytes"), body.cast("binary").alias("kept"))
+    return _per_row(rows, docs, changed, text, length, "kept", F.lit("").cast("binary")).withColumnRenamed("id", id)
+
+
+def repeat_figures(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = CROWD) -> DataFrame:
+    """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row: no row's bytes move to it."""
+    texts = distinct_texts(docs, text)
+    changed = _without(texts, repeated_ranges(texts, length, crowd), length)
+    digests = changed.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    body = text_of(text)
+    rows = docs.select(
+        F.col(f"`{id}`").alias("id"), text_key(body).alias("key"), utf8_length(body).alias("n_bytes"), F.sha2(body, 256).alias("kept_sha256")
+    )
+    nothing = F.sha2(F.lit(""), 256)
+    return _per_row(rows, docs, digests, text, length, "kept_sha256", nothing).withColumnRenamed("id", id)
