@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +175,19 @@ def _representatives(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, Da
     return pairs, reps
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of an Arrow column, as views of its buffer."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=ends[1:])
+    flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int64()))
+
+
 def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(joined_words(text_of(text)).alias("words")).select(
         _key(F.col("words")).alias("key"), "words"
@@ -182,15 +196,14 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
 
 def _signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
     """``key, bands`` of every row with words."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({
-                "key": batch["key"], "bands": [signature(ngrams(h, n), bands, rows) for h in batch["hashes"]],
-            })
+            found = [signature(ngrams(h, n), bands, rows) for h in _lists(batch.column("hashes"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _list_array(found)], ["key", "bands"])
 
     ship(docs.sparkSession)
     hashed = _hashed(docs, text).filter("words != ''").select("key", word_hashes(F.col("words")).alias("hashes"))
-    return hashed.mapInPandas(work, "key binary, bands array<bigint>")
+    return hashed.mapInArrow(work, "key binary, bands array<bigint>")
 
 
 def _classes(
@@ -263,16 +276,15 @@ def similar_texts(
 
 def _grams(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
     """``block, rep, copies, grams`` of the texts wanted: one row per text."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({
-                "block": batch["block"], "rep": batch["rep"], "copies": batch["copies"],
-                "grams": [ngrams(h, n).view(np.int64) for h in batch["hashes"]],
-            })
+            found = [ngrams(h, n).view(np.int64) for h in _lists(batch.column("hashes"))]
+            plain = ["block", "rep", "copies"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, plain), _list_array(found)], [*plain, "grams"])
 
     texts = _hashed(docs, text).join(wanted, "key").groupBy("rep", "block", "copies").agg(F.first("words").alias("words"))
     hashed = texts.select("block", "rep", "copies", word_hashes(F.col("words")).alias("hashes"))
-    return hashed.mapInPandas(work, "block bigint, rep bigint, copies bigint, grams array<bigint>")
+    return hashed.mapInArrow(work, "block bigint, rep bigint, copies bigint, grams array<bigint>")
 
 
 def one_per_class(
