@@ -338,7 +338,10 @@ def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) ->
     """
     ship(texts.sparkSession)
     table = store(_anchor_table(texts, length)).df
-    again = table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    # written, so that the join meets it as a table of its own and a very common anchor can be split
+    again = store(
+        table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    ).df
     every = table.select("key", F.explode(F.arrays_zip("h", "first", "last")).alias("a")).select("key", "a.*")
     chosen = store(
         every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
