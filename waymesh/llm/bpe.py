@@ -25,18 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import slices, text_of
+from waymesh.llm.common import text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
-MEMORY_PIECES, MEMORY_BYTES = 400_000, 256
+MEMORY_PIECES, MEMORY_BYTES = 200_000, 64
+#: Bytes of text that are cut into pieces at a time (a single longer text goes alone).
+SLICE_BYTES = 700_000
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
 QUERY_BYTES = 200_000
 #: Tokens that one decoding query works on (a single longer document goes alone).
-QUERY_TOKENS = 200_000
+QUERY_TOKENS = 100_000
 
 # ``best`` holds the minimum rank of a word's pairs and, in its lower half, the leftmost position of it;
 # ``nth`` counts from the last row that is no hit, so odd ones can be contracted and even ones vanish
@@ -97,7 +101,7 @@ class Codec:
             raise ValueError("pairs of ids are packed as two numbers below 65536")
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         vocab = pd.DataFrame({"id": list(self.ranks.values()), "digits": [t.hex() for t in self.ranks]})
         self.db.execute("create table vocab as select id::integer as id, digits, unhex(digits) as token from vocab")
         self._pairs()
@@ -207,19 +211,28 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of about ``most`` bytes of text, without copies; a longer row comes alone."""
+    part = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, ids, decoded`` for every row: the ids as packed bytes and what they decode to."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, batch["body"].str.len()):
-                ids = tool.encode(part["body"].tolist())
-                yield pd.DataFrame({"id": part["id"], "ids": ids, "decoded": tool.decode(ids)})
+            for part in _parts(batch, SLICE_BYTES):
+                ids = tool.encode(part.column("body").to_pylist())
+                columns = [part.column("id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("body"))
     kind = docs.schema[id].dataType.simpleString()
-    return rows.mapInPandas(work, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id)
+    return rows.mapInArrow(work, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
