@@ -34,7 +34,7 @@ from waymesh.llm.common import text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
-MEMORY_PIECES, MEMORY_BYTES = 200_000, 64
+MEMORY_PIECES, MEMORY_BYTES = 300_000, 64
 #: Bytes of text that are cut into pieces at a time (a single longer text goes alone).
 SLICE_BYTES = 700_000
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
