@@ -3,10 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.texts import documents, frame
 from waymesh.llm import substrings
+from waymesh.llm.common import slices
 
 
 def brute(texts, length):
@@ -72,5 +74,29 @@ def test_equal_windows_have_equal_anchors(monkeypatch):
                 assert starts == list(range(len(t) - length + 1))
 
 
+def test_a_long_row_comes_alone():
+    texts = pd.Series(["é" * 17, "a" * 2, "a" * 2, "a" * 3, "", "b" * 9])
+    parts = [p["body"].tolist() for p in slices(pd.DataFrame({"body": texts}), texts, most=4)]
+    assert parts == [[texts[0]], ["aa", "aa"], ["aaa", ""], ["b" * 9]]
+    octets = pd.Series(["éé", "éé", "a"])
+    assert [len(p) for p in slices(pd.DataFrame({"body": octets}), octets, most=5)] == [1, 2]
+
+
+def test_anchors_of_more_bytes_than_places(monkeypatch):
+    monkeypatch.setattr(substrings, "_PLACE", np.uint64(0xFFF))
+    rng = random.Random(4)
+    passage = bytes(rng.randrange(256) for _ in range(400))
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    # the passage stands behind place 4,096: in the tail of a long text and in the short ones behind it
+    texts = [passage + noise(9_000) + passage, noise(100) + passage, passage + noise(50), b"", noise(10)]
+    seen: dict[bytes, int] = {}
+    for t, (h, first, last) in zip(texts, substrings.anchors(texts, 200), strict=True):
+        starts = []
+        for x, a, b in zip(h, first, last, strict=True):
+            starts += range(a, b + 1)
+            assert all(seen.setdefault(t[i:i + 200], x) == x for i in range(a, b + 1))
+        assert starts == list(range(len(t) - 199))
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0

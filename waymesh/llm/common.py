@@ -28,8 +28,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def slices(batch: pd.DataFrame, sizes: pd.Series, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """An Arrow batch in parts of about ``most`` characters; a longer single row comes alone."""
-    part = (sizes.cumsum() // most).to_numpy()
-    for k in sorted(set(part)):
-        yield batch[part == k]
+def slices(batch: pd.DataFrame, texts: pd.Series, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """An Arrow batch in parts of at most ``most`` octets of ``texts``; a longer single row comes alone."""
+    begin = total = 0
+    for k, text in enumerate(texts):
+        octets = len(text) if text.isascii() else len(text.encode())
+        if k > begin and total + octets > most:
+            yield batch.iloc[begin:k]
+            begin, total = k, 0
+        total += octets
+    if begin < len(batch):
+        yield batch.iloc[begin:]

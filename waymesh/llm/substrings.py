@@ -41,7 +41,7 @@ GRAM = 48
 SHALLOW = 32
 #: Distinct contexts of an anchor beyond which its windows are dealt out one by one.
 CROWD = 20_000
-#: Bytes of text that are hashed at a time; places within fit in 24 bits.
+#: Bytes of text that are hashed at a time, no more than there are places (24 bits).
 _CHUNK = 8_000_000
 _PLACE = np.uint64(0xFFFFFF)
 # fixed values: odd multipliers of a polynomial hash and its finalizer
@@ -87,6 +87,8 @@ def anchors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, ...]]:
     """Per text: anchor hash, first and last window start of every run of windows of one anchor."""
     gram = min(GRAM, length)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    if sizes.sum() > int(_PLACE) + 1:  # more than there are places
+        return [text_anchors(t, length) for t in texts]
     ends = np.cumsum(sizes)
     begins = ends - sizes
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -119,8 +121,11 @@ def anchors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, ...]]:
 def text_anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     """``anchors`` of one text of any size, chunk by chunk."""
     parts = []
-    for at in range(0, max(1, len(text) - length + 1), _CHUNK):
-        h, first, last = anchors([text[at:at + _CHUNK + length - 1]], length)[0]
+    step = min(_CHUNK, int(_PLACE) + 2 - length)
+    if step < 1:
+        raise ValueError(f"windows of {length} bytes have more than {int(_PLACE) + 1} places")
+    for at in range(0, max(1, len(text) - length + 1), step):
+        h, first, last = anchors([text[at:at + step + length - 1]], length)[0]
         parts.append((h, first + at, last + at))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
@@ -265,7 +270,7 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     """``key`` and arrays ``h, first, last`` per distinct text."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, batch["body"].str.len()):
+            for part in slices(batch, batch["body"]):
                 bodies = [b.encode() for b in part["body"]]
                 found = [text_anchors(bodies[0], length)] if len(bodies) == 1 else anchors(bodies, length)
                 yield pd.DataFrame({"key": part["key"], **{n: [f[k] for f in found] for k, n in enumerate(("h", "first", "last"))}})
@@ -278,7 +283,7 @@ def _contexts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """``h, c`` (hash of the context), ``key, first, windows, context`` of the anchors chosen."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, batch["body"].str.len()):
+            for part in slices(batch, batch["body"]):
                 rows = []
                 for key, body, runs in zip(part["key"], part["body"], part["runs"], strict=True):
                     data = body.encode()
@@ -395,7 +400,7 @@ def _without(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     """``key, n_removed, n_spans, kept`` of the texts that have ranges."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, batch["body"].str.len()):
+            for part in slices(batch, batch["body"]):
                 rows = []
                 for key, body, found in zip(part["key"], part["body"], part["ranges"], strict=True):
                     data = body.encode()
