@@ -98,5 +98,25 @@ def test_anchors_of_more_bytes_than_places(monkeypatch):
         assert starts == list(range(len(t) - 199))
 
 
+def test_a_crowded_anchor_is_never_gathered(spark, monkeypatch):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line, passage = noise(70), noise(130)
+    texts = [noise(90) + line + noise(90) for _ in range(40)] + [noise(80) + passage + noise(60) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    largest, sort = [], substrings._sorted_marks
+
+    def watched(contexts, by, length):
+        largest.append(max((r["count"] for r in contexts.groupBy(*by).count().collect()), default=0))
+        return sort(contexts, by, length)
+
+    monkeypatch.setattr(substrings, "_sorted_marks", watched)
+    got = substrings.remove_repeats(docs, length=100, crowd=8).orderBy("doc_id").collect()
+    want = brute([t.encode() for t in texts], 100)
+    assert [(g.n_bytes, g.n_removed, g.n_spans, bytes(g.kept)) for g in got] == want
+    assert sum(w[1] for w in want) >= 30 * 130
+    assert max(largest) <= 8
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0

@@ -12,8 +12,8 @@ Deep-shallow suffix sorting, dealt over the cluster by anchors:
 4. The suffixes of the contexts of an anchor, one per window, are sorted to the depth of a window: by
    multikey quicksort on words of eight bytes to a shallow depth, then by blind tries for the
    groups whose members still agree. Suffixes that agree to the depth of a window are repeated.
-   Tasks take whole anchors, many at a time. An anchor with very many distinct contexts is divided by
-   the place of the window and a hash of its first bytes; equal windows stay together.
+   Tasks take whole anchors, many at a time. The windows of an anchor with very many distinct contexts
+   are not sorted but counted by 16 bytes that stand for them, on the map side first.
 5. The marks go back to the texts, and every row gets what is left of it.
 
 Matches never cross texts; overlaps count; windows are judged on the input. Bytes are those of UTF-8.
@@ -39,7 +39,7 @@ from waymesh.runtime import ship, store
 GRAM = 48
 #: Bytes to which the multikey quicksort goes, a multiple of eight.
 SHALLOW = 32
-#: Distinct contexts of an anchor beyond which its windows are dealt out one by one.
+#: Distinct contexts of an anchor beyond which its windows are counted one by one.
 CROWD = 20_000
 #: Bytes of text that are hashed at a time, no more than there are places (24 bits).
 _CHUNK = 8_000_000
@@ -299,7 +299,7 @@ def _contexts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
-    """``h, c, runs`` of repeated windows, as (first, last, shift), from contexts that share an anchor.
+    """``h, c, runs`` of repeated windows, as (first, last), from contexts that share an anchor.
 
     Partitions are sorted by anchor, so a task meets every anchor whole, and sorts the suffixes of
     many anchors together.
@@ -311,10 +311,10 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
             keys = part.groupby(by, sort=False).ngroup().to_numpy()
             flags = repeated_windows(part["context"].tolist(), part["windows"].to_numpy(), keys, length)
             rows = []
-            for h, c, shift, flag in zip(part["h"], part["c"], part["shift"], flags, strict=True):
+            for h, c, flag in zip(part["h"], part["c"], flags, strict=True):
                 step = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
                 if len(step):
-                    rows.append((h, c, [{"a": int(a) + shift, "b": int(b) - 1 + shift} for a, b in zip(step[::2], step[1::2], strict=True)]))
+                    rows.append((h, c, [{"a": int(a), "b": int(b) - 1} for a, b in zip(step[::2], step[1::2], strict=True)]))
             return pd.DataFrame(rows, columns=["h", "c", "runs"])
 
         for batch in batches:
@@ -335,6 +335,17 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
     return dealt.mapInPandas(work, "h bigint, c binary, runs array<struct<a:int,b:int>>")
 
 
+def _counted_marks(contexts: DataFrame, length: int) -> DataFrame:
+    """The same marks by counting windows, for anchors with any number of contexts: no task holds an anchor or a window whole."""
+    nth = F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("shift")
+    window = F.substring(F.col("context"), F.col("shift") + 1, F.lit(length))
+    windows = contexts.select("h", "c", "context", nth).select("h", "c", "shift", text_key(window).alias("w"))
+    # two equal windows of an anchor lie in two contexts; counting "c" keeps the shuffle of the contexts the same for both uses
+    again = windows.groupBy("h", "w").agg(F.count("c").alias("times")).filter("times > 1").select("h", "w")
+    run = F.struct(F.col("shift").alias("a"), F.col("shift").alias("b"))
+    return windows.join(again, ["h", "w"]).select("h", "c", F.array(run).alias("runs"))
+
+
 def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) -> DataFrame:
     """``key, ranges`` of the distinct ``texts`` with repeated windows: window starts as (first, last).
 
@@ -344,9 +355,10 @@ def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) ->
     ship(texts.sparkSession)
     table = store(_anchor_table(texts, length)).df
     # written, so that the join meets it as a table of its own and a very common anchor can be split
-    again = store(
-        table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
-    ).df
+    met = store(
+        table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), most=F.max("times")
+    )
+    again = met.df.select("h")
     every = table.select("key", F.explode(F.arrays_zip("h", "first", "last")).alias("a")).select("key", "a.*")
     chosen = store(
         every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
@@ -361,18 +373,10 @@ def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) ->
     run = F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
     equal = known.filter("times > 1").select("h", "c", F.array(run).alias("runs"))
     compared = known.filter("members > 1")
-    common = compared.filter(F.col("members") <= crowd).select("h", "c", "windows", "context", F.lit(0).alias("shift"))
-    nth = F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("shift")
-    window = F.substring(F.col("context"), F.col("shift") + 1, F.lit(length))
-    crowded = (
-        compared.filter(F.col("members") > crowd).select("h", "c", "context", "windows", nth)
-        .select("h", "c", F.lit(1).alias("windows"), window.alias("context"), "shift", (F.col("windows") - F.col("shift")).alias("place"))
-        .withColumn("head", F.xxhash64(F.substring("context", 1, SHALLOW)))
-    )
-    marks = (
-        equal.unionByName(_sorted_marks(common, ["h"], length))
-        .unionByName(_sorted_marks(crowded, ["h", "head"], length))
-    )
+    common = compared.filter(F.col("members") <= crowd).select("h", "c", "windows", "context")
+    marks = equal.unionByName(_sorted_marks(common, ["h"], length))
+    if (met.stats["most"] or 0) > crowd:  # an anchor has no more contexts than places
+        marks = marks.unionByName(_counted_marks(compared.filter(F.col("members") > crowd), length))
     placed = found.select("h", "c", "key", "first").join(marks, ["h", "c"]).select(
         "key", "first", F.explode("runs").alias("r")
     ).select("key", F.struct((F.col("first") + F.col("r.a")).alias("first"), (F.col("first") + F.col("r.b")).alias("last")).alias("range"))
