@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"), per_text=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

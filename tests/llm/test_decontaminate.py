@@ -4,6 +4,7 @@ from collections import Counter
 
 from tests.llm.texts import SCHEMA, documents, frame, prose
 from waymesh.llm import decontaminate
+from waymesh.llm.queries import all_queries
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -55,6 +56,32 @@ def test_clean_rows_stay(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in rows if r[0] not in bad)
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 40 + k) for k in range(5)]
+    items = [(0, texts[0]), (0, texts[1]), (0, texts[1].upper()), (None, texts[2]), (None, texts[3]), (1, texts[4]), (2, texts[4])]
+    first = documents()[0][2:]
+    rows = [(k, prose(rng, 100) + ". " + t + ". " + prose(rng, 50), *first) for k, t in enumerate(texts)] + [(9, prose(rng, 90), *first)]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for item, s in {(item, frozenset(shingles(text))) for item, text in items}:
+        for r in rows:
+            if (shared := len(s & shingles(r[1]))) >= 0.8 * len(s):
+                want[r[0], item, len(s), shared] += 1
+    assert len(want) == 6
+    got = decontaminate.contaminated(docs, bench, per_text=True).collect()
+    assert Counter((g.doc_id, g.item_id, g.item_size, g.shared) for g in got) == want
+    assert [r.doc_id for r in decontaminate.without_items(docs, bench, per_text=True).collect()] == [9]
+
+
+def test_the_queries_judge_texts_one_by_one(spark, tmp_path):
+    rng = random.Random(13)
+    texts = [prose(rng, 40), prose(rng, 45)]
+    frame(spark, [(k, t, *documents()[0][2:]) for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, t) for t in texts], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in all_queries()["op9_decontaminate"](spark, str(tmp_path)).collect()) == [0, 1]
+
+
 def test_bins_reach_the_recall():
     rng = random.Random(1)
     for u in (8, 32):

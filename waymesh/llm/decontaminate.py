@@ -17,9 +17,11 @@ items are counted and broadcast if few; else they shuffle. Candidate documents a
 the verification, so no document is carried through the search.
 
 Words are runs of letters and digits in lower case, a shingle is five of them. Defined results: a null
-text is empty; an item of fewer than five words has no shingles and is found nowhere; repeated items
-count as one id each; a null item id stays null. Equal documents get equal answers. Other columns
-play no part. Empty tables give an empty one.
+text is empty; an item of fewer than five words has no shingles and is found nowhere; a null item id
+stays null. With ``per_text``, as the queries have it, different texts of one id (or of null) are items of
+their own, each judged and reported by itself, and rows equal in id and shingles are one item; without
+it, all texts of an id are one item. Equal documents get equal answers. Other columns play no part.
+Empty tables give an empty one.
 """
 
 from __future__ import annotations
@@ -93,24 +95,32 @@ def block_minima(shingles: Column, u: int, bins: int) -> Column:
     ), 1)
 
 
-def _items(items: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """``item_id, shingles`` (distinct), ``item_size`` and the class ``u``."""
+def _items(items: DataFrame, id: str, text: str, n: int, per_text: bool) -> DataFrame:
+    """``item_id, item`` (a key of the item, never null), ``shingles`` (distinct), ``item_size`` and the class ``u``."""
     shingles = F.array_distinct(shingle_hashes(words_of(text_of(text)), n))
     rows = items.select(F.col(f"`{id}`").alias("item_id"), shingles.alias("shingles")).filter(F.size("shingles") > 0)
-    # rows that repeat an id are one item
+    named = F.to_json(F.struct(F.col("item_id").cast("string").alias("id")))  # a null id and the text "null" differ
+    if per_text:
+        rows = rows.select("item_id", F.sort_array("shingles").alias("shingles"))
+        content = F.concat(text_key(named), text_key(F.concat_ws(",", F.col("shingles").cast("array<string>"))))
+        one = rows.withColumn("item", content).groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("shingles").alias("shingles"))
+    else:
+        one = (
+            rows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+            .withColumn("item", text_key(named))
+        )
     return (
-        rows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
-        .withColumn("item_size", F.size("shingles"))
+        one.withColumn("item_size", F.size("shingles"))
         .withColumn("u", F.greatest(F.lit(SMALLEST), F.pow(2, F.ceil(F.log2("item_size")))).cast("int"))
     )
 
 
 def contained_items(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    n: int = 5, threshold: float = 0.8, recall: float = 0.999,
+    n: int = 5, threshold: float = 0.8, recall: float = 0.999, per_text: bool = False,
 ) -> DataFrame:
     """``key, item_id, item_size, shared, containment`` of the texts that contain items; one row per text and item."""
-    known = store(_items(items, item_id, item_text, n)).df
+    known = store(_items(items, item_id, item_text, n, per_text)).df
     classes = [r.u for r in known.select("u").distinct().orderBy("u").collect()]  # at most one per power of two
     empty = F.array().cast("array<bigint>")
 
@@ -122,12 +132,12 @@ def contained_items(
     own = F.lit(None)
     for u in classes:
         own = F.when(F.col("u") == u, bin_minima(F.col("shingles"), bins_for(u, threshold, recall))).otherwise(own)
-    sketches = small(known.select("item_id", "u", F.explode(own if classes else empty).alias("least")))
+    sketches = small(known.select("item", "u", F.explode(own if classes else empty).alias("least")))
     body = text_of(text)
     texts = docs.select(text_key(body).alias("key"), shingle_hashes(words_of(body), n).alias("shingles"))
     minima = texts.select("key", F.explode(all_minima).alias("m"))
     candidates = store(
-        minima.select("key", "m.u", "m.least").join(sketches, ["u", "least"]).select("key", "item_id").distinct()
+        minima.select("key", "m.u", "m.least").join(sketches, ["u", "least"]).select("key", "item").distinct()
     ).df
     wanted = small(candidates.select("key").distinct())
     # the second reading: only candidate texts go on, each once
@@ -136,16 +146,14 @@ def contained_items(
         .groupBy("key").agg(F.first("body").alias("body"))
     )
     there = chosen.select("key", F.explode(F.array_distinct(shingle_hashes(words_of(F.col("body")), n))).alias("shingle"))
-    asked = small(known.select("item_id", F.explode("shingles").alias("shingle")))
+    asked = small(known.select("item", F.explode("shingles").alias("shingle")))
     # a text and an item that share a shingle, restricted to candidates
-    shared = there.join(asked, "shingle").groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-    same = (F.col("c.key") == F.col("s.key")) & F.col("c.item_id").eqNullSafe(F.col("s.item_id"))
-    sizes = known.select("item_id", "item_size")
+    shared = there.join(asked, "shingle").groupBy("key", "item").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = known.select("item", "item_id", "item_size")
     return (
-        shared.alias("s").join(candidates.alias("c"), same, "left_semi").alias("s")
-        .join(sizes.alias("z"), F.col("s.item_id").eqNullSafe(F.col("z.item_id")))
-        .select("s.key", "s.item_id", F.col("z.item_size").cast("bigint").alias("item_size"), "s.shared",
-                (F.col("s.shared") / F.col("z.item_size")).alias("containment"))
+        shared.join(candidates, ["key", "item"], "left_semi").join(sizes, "item")
+        .select("key", "item_id", F.col("item_size").cast("bigint").alias("item_size"), "shared",
+                (F.col("shared") / F.col("item_size")).alias("containment"))
         .filter(F.col("containment") >= threshold)
     )
 

@@ -81,7 +81,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that contain benchmark items, and which."""
-    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), per_text=True)
 
 
 @_query
