@@ -72,6 +72,39 @@ def test_spans_are_added_and_base_ones_stay(model):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+ADDRESSES = [
+    "maximilian.featherstonehaugh [at] example dot org", "christopher.montgomery at university-hospital dot org",
+    "maximilian.featherstonehaugh [AT] example.org", "ann.lee (AT) example.org", "ann.lee at example Dot org", "ann.lee at mail.example.com",
+]
+
+
+@pytest.mark.parametrize("address", ADDRESSES)
+def test_a_stretch_holds_a_spelled_address_whole(address):
+    words = "these are words without any sign that calls for a look " * 4
+    for text in (address, words + address + " " + words, words + "(" + address + ") " + words):
+        at = text.index(address)
+        assert any(b <= at and at + len(address) <= e for b, e in pii.stretches(text))
+
+
+def test_stretches_lie_apart_and_reach_as_far_as_an_entity():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b" * 30, " ", "-", "7" if rng.random() < 0.2 else "c"]) for _ in range(120))
+        parts = list(pii.stretches(text))
+        assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+        for m in re.finditer("7", text):
+            b, e = max(0, m.end() - pii.MAX_CHARS), min(len(text), m.start() + pii.MAX_CHARS)
+            assert any(x <= b and e <= y for x, y in parts), text
+
+
+def test_long_spelled_addresses_are_found_whole(model):
+    words = "these are words without any sign that calls for a look "
+    for address in ADDRESSES:
+        text = words + "write to " + address + " " + words
+        at = text.index(address)
+        assert (at, at + len(address), "email") in pii.all_spans(text, model)[1], address
+
+
 def test_query_rows(spark, model):
     rows = documents()
     rows[0] = (rows[0][0], "write to ann.lee@mail.example.com from 10.20.30.40, +49 30 1234567", *rows[0][2:])

@@ -92,8 +92,10 @@ def _order(span: Span) -> tuple[int, int, int]:
 MAX_TOKENS, MAX_CHARS = 20, 64
 _TYPES = ("other", *KINDS)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
-_TRIGGER = re.compile(r"[0-9@]+|[\[(]at[\])]|\b(?:dot|DOT)\b")
-_AROUND = 28
+# a spelled "at" in brackets or before a host with a point; "dot" as a token of its own
+_TRIGGER = re.compile(
+    r"[0-9@]+|[\[(]at[\])]|(?<![^\W\d_])(?:dot(?![^\W\d_])|at(?![^\W\d_])(?=[\w +()\[\]%-]{1,62}\.[^\W_]))", re.IGNORECASE
+)
 _WORD = re.compile(r"[^\W\d_]+")
 #: First token, token after the last, whether it is an entity, numbers of its features.
 Segment = tuple[int, int, bool, np.ndarray]
@@ -163,12 +165,22 @@ class SemiMarkov:
             if kind == "space" or kind == "sign" and t not in "+(" or _side(text, begin - 1) == "word":
                 continue
             digits, letters, joint, dotted = 0, False, False, False
+            word, gap, apart = "", False, False  # the last word, whether a blank stands behind it, or stood between two
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 stop = tokens[j][1]
                 u = text[tokens[j][0]:stop]
                 kind = _kind(u)
                 if stop - begin > MAX_CHARS or kind == "space" and u != " ":
                     break
+                if dotted and gap and kind in ("digits", "letters") and "dot" not in (word, u.lower()):
+                    break  # behind its first dot a host has blanks around a spelled dot only
+                if not joint and (u == "@" or u.lower() == "at"):
+                    if apart:
+                        break  # a name before the sign has no blanks
+                else:
+                    apart = apart or gap and kind in ("digits", "letters")
+                gap = kind == "space" or gap and kind == "sign"
+                word = u.lower() if kind in ("digits", "letters") else word
                 if kind == "digits":
                     digits += len(u)
                 elif kind == "letters":
@@ -363,25 +375,28 @@ def trained(count: int = 600, seed: int = 3) -> SemiMarkov:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of a text in which an entity could stand: around its triggers, widened to blanks."""
+    """Parts of a text in which an entity could stand: as far around its triggers as one reaches, widened to blanks, apart from each other."""
     begin = end = -1
+    done = 0
     for m in _TRIGGER.finditer(text):
-        if end >= 0 and m.start() - end <= 2 * _AROUND:
+        if end >= 0 and m.start() - end <= 2 * MAX_CHARS:
             end = m.end()
             continue
         if end >= 0:
-            yield _widened(text, begin, end)
+            yield (part := _widened(text, begin, end, done, m.start() - MAX_CHARS))
+            done = part[1]
         begin, end = m.span()
     if end >= 0:
-        yield _widened(text, begin, end)
+        yield _widened(text, begin, end, done, len(text))
 
 
-def _widened(text: str, begin: int, end: int) -> tuple[int, int]:
-    begin, end = max(0, begin - _AROUND), min(len(text), end + _AROUND)
-    while begin > 0 and text[begin - 1].isalnum() and text[begin].isalnum():
-        begin += 1
-        if begin >= end:
-            break
+def _widened(text: str, begin: int, end: int, low: int, high: int) -> tuple[int, int]:
+    """``MAX_CHARS`` more to either side, and outwards to a blank, between ``low`` and ``high``."""
+    begin, end = max(low, begin - MAX_CHARS), min(high, end + MAX_CHARS)
+    while begin > low and not text[begin - 1].isspace():
+        begin -= 1
+    while end < high and not text[end].isspace():
+        end += 1
     return begin, end
 
 
