@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import bpe, chat, decontaminate, exact, jaccard, pii, quality, sharding, substrings, urls
+from waymesh.llm import (
+    bpe, chat, collocations, decontaminate, exact, jaccard, pii, quality, rules, sharding, substrings, trie, urls,
+)
 from waymesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +90,21 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document."""
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All distinct beginnings of the rebuilt conversations as a tree, with members and sums over subtrees."""
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@_query
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of every document's words and lines, and whether the rules keep it."""
+    return rules.judge_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, folder, "documents"))
