@@ -176,16 +176,16 @@ def certified_cutoffs(
     """
     share = false_rejection / len(RULES)
     totals = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"))
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
+    strata = counts.select("stratum").distinct().count()
     # each document lies above the cutoffs 0 to above - 1; at most GRID of them per rule, whatever the data
     per_cutoff = (
         counts.filter("above > 0").select("stratum", "rule", "good", "bad", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("cutoff"))
         .groupBy("stratum", "rule", "cutoff").agg(F.sum("good").alias("lost"), F.sum("bad").alias("caught"))
     )
-    tested = per_cutoff.join(totals, ["stratum", "rule"]).join(F.broadcast(strata)).withColumn(
+    tested = per_cutoff.join(totals, ["stratum", "rule"]).withColumn(
         "p_value", binomial_at_most(F.col("n_good"), F.col("lost"), share)
     )
-    useful = tested.filter(F.col("p_value") <= F.lit(error) / (F.col("strata") * len(RULES))).withColumn(
+    useful = tested.filter(F.col("p_value") <= error / (max(strata, 1) * len(RULES))).withColumn(
         "gain", F.col("caught") - good_weight * F.col("lost")
     ).filter("gain > 0")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff"))
@@ -208,7 +208,7 @@ def apply_rules(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", **risk) -> DataFrame:
     """Base figures and verdict of every row: ``id, n_words, …, base_failed, kept, failed_rules``; texts are read once."""
     rows = store(measured(docs, id, text, lang)).df
-    cutoffs = certified_cutoffs(holdout_counts(rows, labels, id), **risk)
+    cutoffs = certified_cutoffs(store(holdout_counts(rows, labels, id)).df, **risk)
     return apply_rules(rows, cutoffs).select(
         F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
