@@ -66,7 +66,7 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("cells", [co.CELLS, 64])
+@pytest.mark.parametrize("cells", [1 << 16, 64])
 def test_equal_to_brute_force_with_many_cells_and_few(spark, cells):
     rows = texts()
     want = brute(rows, 12)
@@ -93,12 +93,12 @@ def test_small_slices_small_fan_in_and_short_paths(spark, monkeypatch):
 
 def test_report_is_cut_per_language_and_counts_repeat_rows(spark):
     rows = texts(7, 60) * 2
-    assert got(co.collocations(frame(spark, rows), least=10, report=3)) == brute(rows, 10, 3)
+    assert got(co.collocations(frame(spark, rows), least=10, report=3, cells=1 << 16)) == brute(rows, 10, 3)
 
 
 def test_empty_and_nothing_frequent(spark):
-    assert got(co.collocations(frame(spark, [("en", "a b c")]).limit(0))) == []
-    assert got(co.collocations(frame(spark, [("en", "a b c d e")]))) == []
+    assert got(co.collocations(frame(spark, [("en", "a b c")]).limit(0), cells=1 << 16)) == []
+    assert got(co.collocations(frame(spark, [("en", "a b c d e")]), cells=1 << 16)) == []
 
 
 def test_words_of_a_slice():

@@ -1,16 +1,18 @@
 """Phrase collocations by a weighted de Bruijn graph of words.
 
 Edges are the phrases of four words, nodes those of three: an edge leads from its first three words to its last
-three. Only edges are counted in the texts, and for every piece of text its last words. All shorter counts follow
-from the flow through the nodes: a phrase occurs as often as edges leave it, plus as often as a piece ends
-with it. Edges of candidates form paths; where a node has one edge in and one out they are compacted into a single row
-of words and weights (list ranking gives the places), and candidates are read off those rows.
-
-A phrase that occurs ``least`` times has no rarer pair of words in it, so pieces may be divided between two words whose
-pair is surely rarer without changing any count that matters. Surely rarer means: the pair's cell in a table of
-``CELLS`` counters, of fixed size at any input, stays below ``least``. Cells only err upwards (several pairs share one),
-so nothing is lost; with more data or fewer cells less is divided, and the result stays the same. Counters are
-summed block by block over the cluster; one bit per cell, 2 MB, is sent to the tasks.
+three. Each word of a text gives one row: the edge that begins with it, or, where none leaves (a piece ends), the shorter phrase
+up to there. All shorter counts follow from the flow: a phrase occurs as often as edges leave it, plus the corrections
+for pieces that end in or with it. Edges of candidates form paths; where a node has one edge in and one out they are
+compacted into a single row of words and weights (list ranking gives the places), and candidates are read off
+those rows.
+
+A phrase that occurs ``least`` times has no rarer pair or triple of words in it, so an edge may be cut short where a pair or
+triple is surely rarer, without changing any count that matters. Surely rarer means: the cell in a table of ``CELLS``
+counters, of fixed size at any input, stays below ``least``: first for words and pairs, then for triples of frequent pairs.
+Cells only err upwards (several phrases share one), so nothing is lost; with more data or fewer cells less is cut short,
+and the result stays the same. Counters are summed block by block over the cluster; one bit per cell, 2 MB a table, is
+sent to the tasks.
 
 Words, pieces and counting in tasks are numpy and Arrow over slices of a few megabytes (a longer text comes
 alone); phrases of a slice are counted before they move.
@@ -29,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ from waymesh.runtime import ship, small, store
 #: Least count of a phrase, phrases per language in the report, share (in hundredths) at which a longer phrase replaces a part.
 LEAST, REPORT, COVERS = 30, 2000, 80
 #: Counters of the table of pairs, in blocks; octets of text worked on at once; tables summed by one task.
-CELLS, BLOCK, SLICE, FAN_IN = 1 << 24, 1 << 16, 8_000_000, 64
+CELLS, BLOCK, SLICE, FAN_IN = 1 << 24, 1 << 16, 4_000_000, 64
 #: Edges of a compacted path per row, and parts that a common word's lookups are dealt into.
 PATH_EDGES, SALT = 4096, 16
 
@@ -84,11 +87,15 @@ class Words:
         """For each word but the last: does the next one stand in the same piece?"""
         return self.piece[1:] == self.piece[:-1]
 
-    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each word, and of each word with the next one."""
-        word = self._hash[self.ids] ^ self._lang_hash[self.lang]
-        pair = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + (self._hash[self.ids[1:]] * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1))
-        return tuple((((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % cells for h in (word, pair))
+    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells of each word, of each word with the next one, and with the next two."""
+        word, follower = self._hash[self.ids] ^ self._lang_hash[self.lang], self._hash[self.ids]
+        pair = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + (follower[1:] * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1))
+        triple = (pair[:-1] ^ (pair[:-1] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + follower[2:] * np.uint64(0xA0761D6478BD642F)
+        return tuple(
+            (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % cells
+            for h in (word, pair, triple)
+        )
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[Words]:
@@ -102,8 +109,15 @@ def _slices(batch: pa.RecordBatch) -> Iterator[Words]:
         begin = end
 
 
-def frequent_cells(bodies: DataFrame, least: int = LEAST, cells: int = CELLS) -> bytes:
-    """One bit per cell, packed: did words or pairs of that cell occur ``least`` times? ``bodies``: ``body, lang``."""
+def _unpacked(bits: bytes, cells: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[:cells].astype(bool)
+
+
+def frequent_cells(bodies: DataFrame, least: int = LEAST, cells: int = CELLS, pairs: Broadcast | None = None) -> bytes:
+    """One bit per cell, packed: did words and pairs of that cell occur ``least`` times? ``bodies``: ``body, lang``.
+
+    With the bits of ``pairs`` it is triples that are counted, those whose pairs are both frequent.
+    """
     if not 0 < least < 65536:
         raise ValueError("least must lie between 1 and 65535")
     kind = np.uint8 if least < 256 else np.uint16
@@ -111,10 +125,16 @@ def frequent_cells(bodies: DataFrame, least: int = LEAST, cells: int = CELLS) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, dtype=kind)
+        frequent = None if pairs is None else _unpacked(pairs.value, cells)
         for batch in batches:
             for words in _slices(batch):
-                single, pair = words.cells(cells)
-                found, n = np.unique(np.r_[single, pair[words.joined()]], return_counts=True)
+                single, pair, triple = words.cells(cells)
+                if frequent is None:
+                    seen = np.r_[single, pair[words.joined()]]
+                else:
+                    kept = words.joined() & frequent[pair]
+                    seen = triple[kept[:-1] & kept[1:]]
+                found, n = np.unique(seen, return_counts=True)
                 table[found] = np.minimum(least, table[found] + np.minimum(n, least))
         part = TaskContext.get().partitionId()
         for k in range(0, cells, block):
@@ -152,57 +172,48 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _parts_of(words: Words, frequent: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
-    """Edges (size 4), ends of pieces (1 to 3 words) and left-out words (size 0) of a slice, counted."""
+def _parts_of(words: Words, frequent: np.ndarray, triples: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
+    """For each word of a slice the longest phrase that begins with it and is not surely rare, counted by phrase."""
     n = len(words.ids)
     if not n:
         return
-    single, pair = words.cells(cells)
-    last = np.r_[~(words.joined() & frequent[pair]), True]  # ends of pieces after dividing them
-    place = np.arange(n) - np.maximum.accumulate(np.where(np.r_[True, last[:-1]], np.arange(n), 0))
-    rare = last & (place == 0) & ~frequent[single]
-    # one code per (language, word), then per pair and per pair of pairs: exact, each below 2**62
+    single, pair, triple = words.cells(cells)
+    two_fit = words.joined() & frequent[pair]
+    three_fit = two_fit[:-1] & two_fit[1:] & triples[triple]
+    size = frequent[single].astype(np.int32)
+    size[:-1][two_fit] = 2
+    size[:-2][three_fit] = 3
+    size[:-3][three_fit[:-1] & three_fit[1:]] = 4
+    # one code per (language, word), then per pair: exact, and below 2**62 for two pairs
     _, one = np.unique(words.lang * len(words.names) + words.ids, return_inverse=True)
     _, two = np.unique(one[:-1] * n + one[1:], return_inverse=True)
-
-    def rows(at: np.ndarray, codes: np.ndarray, size: int) -> pa.RecordBatch:
-        first, count = _counted(codes)
+    for k in range(5):
+        at = np.flatnonzero(size == k)
+        if not len(at):
+            continue
+        codes = {0: lambda: words.lang[at], 1: lambda: one[at], 2: lambda: two[at], 3: lambda: two[at] * n + one[at + 2],
+                 4: lambda: two[at] * n + two[at + 2]}[k]()
+        _, first, count = np.unique(codes, return_index=True, return_counts=True)
         begin = at[first]
-        grams = [words.names.take(pa.array(words.ids[begin + k])) for k in range(size)]
-        joined = pc.binary_join_element_wise(*grams, " ") if size > 1 else grams[0] if size else pa.array([""] * len(begin))
-        return pa.RecordBatch.from_pydict({
+        grams = [words.names.take(pa.array(words.ids[begin + j])) for j in range(k)]
+        joined = pc.binary_join_element_wise(*grams, " ") if k > 1 else grams[0] if k else pa.array([""] * len(begin))
+        yield pa.RecordBatch.from_pydict({
             "lang": words.langs.take(pa.array(words.lang[begin])).cast(pa.string()), "gram": joined.cast(pa.string()),
-            "size": pa.array(np.full(len(begin), size, dtype=np.int32)), "n": pa.array(count.astype(np.int64)),
+            "size": pa.array(np.full(len(begin), k, dtype=np.int32)), "n": pa.array(count.astype(np.int64)),
         })
 
-    inner = ~last
-    edges = np.flatnonzero(inner[:-3] & inner[1:-2] & inner[2:-1]) if n > 3 else np.zeros(0, dtype=np.int64)
-    if len(edges):
-        yield rows(edges, two[edges] * n + two[edges + 2], 4)
-    ends = np.flatnonzero(last & (place >= 2)) - 2
-    if len(ends):
-        yield rows(ends, two[ends] * n + one[ends + 2], 3)
-    ends = np.flatnonzero(last & (place == 1)) - 1
-    if len(ends):
-        yield rows(ends, two[ends], 2)
-    ends = np.flatnonzero(last & (place == 0) & ~rare)
-    if len(ends):
-        yield rows(ends, one[ends], 1)
-    ends = np.flatnonzero(rare)
-    if len(ends):
-        yield rows(ends, words.lang[ends], 0)
-
 
 def graph_parts(bodies: DataFrame, least: int = LEAST, cells: int = CELLS) -> DataFrame:
-    """``lang, size, gram, n``: edges of four words, and the last one to three words of pieces, over all texts."""
-    spark = bodies.sparkSession
-    bits = spark.sparkContext.broadcast(frequent_cells(bodies, least, cells))
+    """``lang, size, gram, n``: edges of four words, and shorter phrases (down to none) where no edge leaves, over all texts."""
+    context = bodies.sparkSession.sparkContext
+    bits = context.broadcast(frequent_cells(bodies, least, cells))
+    triple_bits = context.broadcast(frequent_cells(bodies, least, cells, bits))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8))[:cells].astype(bool)
+        frequent, triples = _unpacked(bits.value, cells), _unpacked(triple_bits.value, cells)
         for batch in batches:
             for words in _slices(batch):
-                yield from _parts_of(words, frequent, cells)
+                yield from _parts_of(words, frequent, triples, cells)
 
     counted = bodies.mapInArrow(parts, "lang string, gram string, size int, n long")
     return counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
@@ -214,22 +225,12 @@ def _words_of(gram: str | Column, first: int, last: int) -> Column:
 
 
 def phrase_counts(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, size, phrase, f`` of all phrases of one to three words that occur ``least`` times: flow and ends."""
-
-    def row(size: int, phrase: Column) -> Column:
-        return F.struct(F.lit(size).alias("size"), phrase.alias("phrase"))
-
-    def spans(k: int) -> list[Column]:
-        return [row(b - a + 1, _words_of("gram", a, b)) for a in range(1, k + 1) for b in range(a, k + 1)]
-
-    # an edge is flow out of its first words; an end holds all phrases within, as nothing follows it
-    edge = [row(k, F.substring_index("gram", " ", k)) for k in (1, 2, 3)]
-    each = F.when(F.col("size") == 4, F.array(*edge))
-    for k in (3, 2, 1):
-        each = each.when(F.col("size") == k, F.array(*spans(k)))
+    """``lang, size, phrase, f`` of all phrases of one to three words that occur ``least`` times: flow and corrections."""
+    sizes = F.sequence(F.lit(1), F.least(F.col("size"), F.lit(3)))
     return (
-        parts.filter("size > 0").select("lang", "n", F.explode(each).alias("p"))
-        .groupBy("lang", "p.size", "p.phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        parts.filter("size > 0").select("lang", "gram", "n", F.explode(sizes).alias("size"))
+        .groupBy("lang", "size", F.call_function("substring_index", F.col("gram"), F.lit(" "), F.col("size")).alias("phrase"))
+        .agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     )
 
 
@@ -280,10 +281,7 @@ def collocations(
     )
     parts = store(graph_parts(bodies, least, cells)).df
     frequent = store(phrase_counts(parts, least)).df
-    # an edge stands for its first word, an end for all its words, a left-out word for itself
-    totals = small(parts.groupBy("lang").agg(
-        F.sum(F.col("n") * F.when(F.col("size").isin(0, 4), 1).otherwise(F.col("size"))).alias("n")
-    ))
+    totals = small(parts.groupBy("lang").agg(F.sum("n").alias("n")))  # one row for each word
     kept = store(candidates(parts, frequent, least)).df
     cuts = F.filter(
         F.array(*[
