@@ -12,7 +12,7 @@ def test_chains_rings_and_single_items(spark):
     assert len(got) == 101 + 6
     assert [got[k * 7 % 101] for k in range(61)] == [(0, k) for k in range(61)]
     assert got[200] == (200, 0) and got[205] == (200, 1) and got[203] == (200, 2)
-    assert got[300] == (299, 0) and got[299] == (299, 1) and got[400] == (400, 0)
+    assert got[300] == (300, 0) and got[299] == (300, 1) and got[400] == (400, 0)
 
 
 def test_ids_may_be_structs_and_tables_empty(spark):

@@ -125,3 +125,43 @@ def test_close_nodes_at_the_antimeridian_and_near_a_pole(spark):
     merged, _ = consolidate(ndf, spark.createDataFrame([(1, 6, 5)], "u long, v long, cost_c long"), tol_m=10)
     got = {r.id: (round(r.lat, 6), round(abs(r.lon), 6), r.merged) for r in merged.collect()}
     assert got == {1: (10.0, 180.0, 2), 3: (89.9, 10.025, 2), 5: (89.9, 190.0, 1), 6: (10.0, 0.0, 1)}
+
+
+def test_chains_are_drawn_in_order(spark):
+    # a long two-way road 1..40 of three ways, a one-way road 40>50>51>1, a ring 60-61-62, parallel ways between 70 and 71
+    def point(i):
+        return (float(i), 46.0 + i / 100)
+
+    def piece(u, v, way, name, speeds, bend=None):
+        road = [point(u), *([bend] if bend else []), point(v)]
+        return (u, v, float(u + v), [f"class{way % 2}"], speeds, way, name, road)
+
+    two_way = [piece(i, i + 1, 100 + i // 14, f"Road {i // 20}" if i % 9 else None, ["25 mph"] if i % 2 else None) for i in range(1, 40)]
+    two_way += [piece(1, 90, 200, "A", None), piece(40, 91, 201, "B", None), piece(70, 71, 300, "C", None), piece(71, 70, 301, "D", None), piece(71, 72, 302, None, None)]
+    two_way += [piece(60, 61, 400, "R", None, bend=(7.5, 7.5)), piece(61, 62, 400, "R", None), piece(62, 60, 401, "R", None)]
+    one_way = [piece(40, 50, 500, "O", None), piece(50, 51, 501, "O", None), piece(51, 1, 501, "P", None)]
+    back = [(v, u, n, h, m, w, name, road[::-1]) for u, v, n, h, m, w, name, road in two_way]
+    rows = [(*r, False) for r in two_way + back] + [(*r, True) for r in one_way]
+    df = spark.createDataFrame(
+        rows, "u long, v long, length_m double, highway array<string>, maxspeed array<string>, way_id long, name string, "
+        "road array<struct<lon: double, lat: double>>, oneway boolean",
+    )
+    got = {(r.u, r.v, tuple(r.way_ids)): r for r in simplify_chains(df).collect()}
+    road = got[1, 40, (100, 101, 102)]
+    assert [tuple(p) for p in road.road] == [point(i) for i in range(1, 41)]
+    assert road.pieces == 39 and road.length_m == sum(2 * i + 1 for i in range(1, 40)) and not road.oneway
+    assert (road.highway, road.maxspeed) == (["class0", "class1"], ["25 mph"])
+    assert road.names[0] == "Road 0" and set(road.names) == {"Road 0", "Road 1"}
+    other = got[40, 1, (102, 101, 100)]
+    assert [tuple(p) for p in other.road] == [point(i) for i in range(40, 0, -1)] and other.length_m == road.length_m
+    single = got[40, 1, (500, 501)]
+    assert single.oneway and single.names == ["O", "P"] and [p.lon for p in single.road] == [40.0, 50.0, 51.0, 1.0]
+    # parallel ways make their ends junctions; ways back of both are there too
+    assert {k for k in got if set(k[:2]) == {70, 71}} == {(70, 71, (300,)), (70, 71, (301,)), (71, 70, (300,)), (71, 70, (301,))}
+    rings = [r for k, r in got.items() if k[:2] == (60, 60)]
+    assert len(rings) == 2 and all(r.pieces == 3 and r.road[0] == r.road[-1] and len(r.road) == 5 for r in rings)
+
+
+def test_no_edges(spark):
+    df = spark.createDataFrame([], "u long, v long, length_m double, cost_c long, highway string, maxspeed string")
+    assert simplify_chains(df).count() == 0

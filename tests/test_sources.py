@@ -165,3 +165,24 @@ def test_a_road_without_speed_joins_two_parts(spark):
     kept, edges = drivable_network(ways, nodes)
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 4]
     assert sorted((r.u, r.v, r.cost_c is None) for r in edges.collect()) == [(1, 2, False), (2, 3, True), (3, 4, False)]
+
+
+def test_simplified_network(spark):
+    from waymesh.plans.network import simplified_network
+
+    tags = {"highway": "primary", "maxspeed": "40 mph;50 mph", "name": "Main"}
+    ways = spark.createDataFrame(
+        [(1, [1, 2, 3], tags), (2, [3, 4], {"highway": "tertiary", "maxspeed": "30 mph"}), (3, [4, 5], {"highway": "footway"}),
+         (4, [3, 6, 7, 8], {"highway": "primary", "oneway": "yes", "name": "Side"}), (5, [8, 3], {"highway": "primary", "oneway": "yes"})],
+        "way_id long, nd array<long>, tags map<string,string>",
+    )
+    nodes = spark.createDataFrame([(i, 46.0 + i / 100, -117.0) for i in range(1, 9)], "id long, lat double, lon double")
+    kept, roads = simplified_network(ways, nodes)
+    got = {(r.u, r.v): r for r in roads.collect()}
+    # 3 is the only junction: the one-way ring 3>6>7>8>3 keeps its pieces up to there
+    assert set(got) == {(1, 3), (3, 1), (3, 4), (4, 3), (3, 3)}
+    assert got[1, 3].speed == 45 and got[1, 3].pieces == 2 and got[3, 3].speed == 45 and got[3, 4].speed == 30
+    assert got[3, 3].way_ids == [4, 5] and got[3, 3].names == ["Side"] and got[3, 3].oneway
+    assert [round(p.lat, 2) for p in got[3, 3].road] == [46.03, 46.06, 46.07, 46.08, 46.03]
+    assert [round(p.lat, 2) for p in got[3, 1].road] == [46.03, 46.02, 46.01]
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4]

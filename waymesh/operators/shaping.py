@@ -6,22 +6,27 @@ from functools import reduce
 from itertools import product
 from math import ceil, pi, sin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from waymesh.functions.geo import EARTH_RADIUS_M, geo_distance
 from waymesh.operators.components import connected_components
 from waymesh.operators.graph import simple_edges
+from waymesh.operators.ranking import chain_places
 from waymesh.runtime import store
 
 
 def chain_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that only pass traffic on: two neighbours, and one or both directions right through."""
+    """Nodes that only pass traffic on: two neighbours, and one or both directions right through.
+
+    A node with parallel edges to a neighbour is a junction.
+    """
     ends = F.array(
         F.struct(F.col("u").alias("id"), F.col("v").alias("other"), F.lit(1).alias("out")),
         F.struct(F.col("v").alias("id"), F.col("u").alias("other"), F.lit(0).alias("out")),
     )
-    sides = edges.select("u", "v").distinct().select(F.explode(ends).alias("e")).select("e.*")
+    sides = edges.select("u", "v").select(F.explode(ends).alias("e")).select("e.*")
     per_pair = sides.groupBy("id", "other").agg(
         F.sum("out").alias("outs"), F.sum(1 - F.col("out")).alias("ins")
     )
@@ -29,50 +34,62 @@ def chain_nodes(edges: DataFrame) -> DataFrame:
         per_pair.groupBy("id")
         .agg(
             F.count(F.lit(1)).alias("others"), F.sum("outs").alias("outs"), F.sum("ins").alias("ins"),
-            F.max((F.col("id") == F.col("other")).cast("int")).alias("loop"),
+            F.max(F.greatest("outs", "ins")).alias("parallel"), F.max((F.col("id") == F.col("other")).cast("int")).alias("loop"),
         )
-        .filter("others = 2 AND loop = 0 AND outs = ins AND outs > 0")
+        .filter("others = 2 AND loop = 0 AND parallel = 1 AND outs = ins AND outs > 0")
         .select("id")
     )
 
 
 def simplify_chains(edges: DataFrame) -> DataFrame:
-    """Contract chains of pass-through nodes into single directed edges.
+    """Contract chains of pass-through nodes into single directed edges, drawn as one line.
 
-    Takes simple directed edges ``u, v, length_m, cost_c, highway, maxspeed``. Gives
-    ``u, v, length_m, cost_c, pieces, highway, maxspeed`` with the different classes
-    and speeds as sorted arrays. A ring without any junction becomes a loop at its
-    smallest node. Chains of any length contract in a logarithmic number of rounds.
+    Takes directed edges ``u, v, length_m, highway, maxspeed``, unique per pair of ends (per ends and ``way_id`` if
+    there is one). Gives ``u, v, length_m, pieces, highway, maxspeed`` with the different classes and speeds as
+    sorted arrays, and for the columns that are there: ``cost_c`` (sum), ``oneway``, ``road`` (the points of
+    all pieces in order), ``way_ids`` and ``names`` (in order, without repeats and nulls in a row).
+
+    List ranking gives every piece its place in the chain, so chains of any length contract in a logarithmic
+    number of rounds. A ring without any junction becomes a loop at the start of its smallest piece.
     """
-    edges = store(edges.select("u", "v", "length_m", "cost_c", "highway", "maxspeed")).df
+    optional = [c for c in ("cost_c", "oneway", "road", "way_id", "name") if c in edges.columns]
+    key = ["u", "v", "way_id"] if "way_id" in optional else ["u", "v"]
+    edges = store(edges.select("u", "v", "length_m", "highway", "maxspeed", *optional).withColumn("id", F.struct(*key))).df
     passing = store(chain_nodes(edges)).df
-    into = edges.select(F.struct("u", "v").alias("a"), F.col("v").alias("id"), F.col("u").alias("before"))
-    out_of = edges.select(F.struct("u", "v").alias("b"), F.col("u").alias("id"), F.col("v").alias("after"))
+    into = edges.select(F.col("id").alias("a"), F.col("v").alias("node"), F.col("u").alias("before"))
+    out_of = edges.select(F.col("id").alias("b"), F.col("u").alias("node"), F.col("v").alias("after"))
+    through = passing.withColumnRenamed("id", "node")
     # one row per pass-through node and direction: its two pieces belong together
     linked = (
-        into.join(passing, "id", "left_semi").join(out_of.join(passing, "id", "left_semi"), "id")
-        .filter("before != after")
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    chains = connected_components(linked, edges.select(F.struct("u", "v").alias("id")))
-    inner = passing.select(F.col("id"), F.lit(True).alias("passes"))
-    pieces = (
-        edges.join(inner.withColumnRenamed("id", "u").withColumnRenamed("passes", "u_passes"), "u", "left")
-        .join(inner.withColumnRenamed("id", "v").withColumnRenamed("passes", "v_passes"), "v", "left")
-        .withColumn("id", F.struct("u", "v"))
-        .join(chains, "id")
+        into.join(through, "node", "left_semi").join(out_of.join(through, "node", "left_semi"), "node")
+        .filter("before != after").select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    outer_u = F.min(F.when(F.col("u_passes").isNull(), F.col("u")))
-    outer_v = F.min(F.when(F.col("v_passes").isNull(), F.col("v")))
-    return (
-        pieces.groupBy("component")
-        .agg(
-            F.coalesce(outer_u, F.min("u")).alias("u"), F.coalesce(outer_v, F.min("v")).alias("v"),
-            F.sum("length_m").alias("length_m"), F.sum("cost_c").alias("cost_c"), F.count(F.lit(1)).alias("pieces"),
-            F.array_sort(F.collect_set("highway")).alias("highway"),
-            F.array_sort(F.collect_set("maxspeed")).alias("maxspeed"),
-        )
-        .drop("component")
+    placed = edges.join(chain_places(linked, edges.select("id")), "id")
+    fields = ["place", "u", "v", "length_m", "highway", "maxspeed", *optional]
+    chains = placed.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("steps"))
+
+    def sets(column: str) -> Column:
+        """The different values of pieces (or the entries of their lists), sorted."""
+        values = F.transform("steps", lambda s: s[column])
+        if isinstance(edges.schema[column].dataType, ArrayType):
+            values = F.flatten(F.filter(values, lambda x: x.isNotNull()))
+        return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+    def total(column: str) -> Column:
+        return F.aggregate("steps", F.lit(0).cast(edges.schema[column].dataType), lambda sum, s: sum + s[column])
+
+    def changes(column: str) -> Column:
+        new = F.filter("steps", lambda s, k: s[column].isNotNull() & ~s[column].eqNullSafe(F.get("steps", k - 1)[column]))
+        return F.transform(new, lambda s: s[column])
+
+    # a piece begins where the one before it ends
+    line = F.flatten(F.transform("steps", lambda s, k: F.when(k == 0, s["road"]).otherwise(F.slice(s["road"], 2, F.greatest(F.size(s["road"]) - 1, F.lit(0))))))
+    made = {"cost_c": lambda: total("cost_c").alias("cost_c"), "oneway": lambda: F.exists("steps", lambda s: s["oneway"]).alias("oneway"),
+            "road": lambda: line.alias("road"), "way_id": lambda: changes("way_id").alias("way_ids"), "name": lambda: changes("name").alias("names")}
+    return chains.select(
+        F.get("steps", F.lit(0))["u"].alias("u"), F.element_at("steps", -1)["v"].alias("v"), total("length_m").alias("length_m"),
+        F.size("steps").cast("bigint").alias("pieces"), sets("highway").alias("highway"), sets("maxspeed").alias("maxspeed"),
+        *[made[c]() for c in optional],
     )
 
 

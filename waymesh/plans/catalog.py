@@ -13,7 +13,7 @@ from waymesh.operators import cache, cleaning, components, graph, importance, ne
 from waymesh.operators.geometry import route_geometry as draw_routes
 from waymesh.operators.requests import answer_requests as answer
 from waymesh.operators.requests import misses_of, parse_requests as parse
-from waymesh.operators.steps import ordered_steps, path_steps as steps_of
+from waymesh.operators.steps import path_steps as steps_of
 from waymesh.operators.tiles import tile_edges
 from waymesh.plans import derived, network, routes
 from waymesh.runtime import store
@@ -136,12 +136,7 @@ def road_points_latlon(spark, folder):
 
 @_query
 def way_segments(spark, folder):
-    refs = derived.table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("way_id"), "turn", (F.col("conv_id") * 7 + F.col("turn") * 3).alias("ref")
-    )
-    return ordered_steps(refs, ["way_id"], ["turn"], "ref").na.drop(subset=["next_ref"]).select(
-        "way_id", "pos", F.col("ref").alias("x"), F.col("next_ref").alias("y")
-    )
+    return cleaning.way_segments(derived.road_ways(spark, folder)).select("way_id", "pos", "x", "y")
 
 
 # graph tables
@@ -191,8 +186,7 @@ def simple_edges(spark, folder):
 
 @_query
 def neighbors(spark, folder):
-    asked = derived.nodes(spark, folder).filter("p_size <= 10")
-    return graph.neighbors(asked, derived.parallel_edges(spark, folder))
+    return graph.neighbors(derived.nodes(spark, folder), derived.parallel_edges(spark, folder))
 
 
 @_query
@@ -506,6 +500,18 @@ def drivable_network(spark, folder):
     )
 
 
+@_query
+def network_v2(spark, folder):
+    _, roads = network.simplified_network(derived.road_ways(spark, folder), derived.osm_nodes(spark, folder))
+    second = F.get("road", F.lit(1))
+    return roads.select(
+        "u", "v", "pieces", "highway", F.array_join("highways", ",").alias("highways"), "speed", "cost_c", "oneway",
+        F.floor(F.col("length_m") + 0.5).cast("bigint").alias("metres"), F.size("road").cast("bigint").alias("points"),
+        second["lon"].alias("lon2"), second["lat"].alias("lat2"),
+        F.concat_ws(">", F.transform("way_ids", lambda w: w.cast("string"))).alias("way_ids"), F.concat_ws(">", "names").alias("names"),
+    )
+
+
 # load test
 
 

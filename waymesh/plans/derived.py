@@ -179,3 +179,34 @@ def osm_ways(spark: SparkSession, folder: str) -> DataFrame:
             lambda k, v: v.isNotNull(),
         ).alias("tags"),
     )
+
+
+#: Nodes a level road way runs on for, and the ways' numbers of the upright ones.
+WAY_STEPS, UPRIGHT = 8, 1_000_000
+
+
+def road_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """Roads of the grid as ways of many nodes: level ones in blocks, upright ones above small parts: ``way_id, nd, tags``."""
+    grid = nodes(spark, folder)
+    block = F.floor(F.col("gx") / WAY_STEPS)
+    shared = (F.col("gx") % WAY_STEPS == 0) & (F.col("gx") > 0)
+    blocks = F.when(shared, F.array(block - 1, block)).otherwise(F.array(block))
+    level = grid.select("id", "gy", F.explode(blocks).alias("block")).groupBy((F.col("gy") * 100 + F.col("block")).alias("way_id")).agg(
+        F.sort_array(F.collect_list("id")).alias("nd")
+    )
+    above = grid.select((F.col("id") - WIDTH).alias("id"))
+    upright = grid.filter("p_size <= 5").join(above, "id", "left_semi").select(
+        (F.col("id") + UPRIGHT).alias("way_id"), F.array(F.col("id"), F.col("id") + WIDTH).alias("nd")
+    )
+    way = F.col("way_id")
+    five, classes = way % 5, F.array(*[F.lit(c) for c in CLASSES])
+    speed = (
+        F.when(five == 1, F.lit("signals")).when(five == 2, F.lit("25 mph;36 mph"))
+        .when(five > 2, F.concat((way % 40 + 20).cast("string"), F.lit(" mph")))
+    )
+    tags = F.create_map(
+        F.lit("highway"), F.get(classes, (way % len(CLASSES)).cast("int")), F.lit("maxspeed"), speed,
+        F.lit("oneway"), F.when(way % 4 == 0, F.lit("yes")).otherwise(F.lit("no")),
+        F.lit("name"), F.when(way % 3 != 0, F.concat(F.lit("Road "), (way % 10).cast("string"))),
+    )
+    return level.unionByName(upright).select("way_id", "nd", F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"))

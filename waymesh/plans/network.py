@@ -13,6 +13,7 @@ from waymesh.operators.cleaning import (
 )
 from waymesh.operators.components import keep_largest
 from waymesh.operators.graph import Box, directed_edges, edges_in_box
+from waymesh.operators.shaping import simplify_chains
 from waymesh.runtime import store
 
 # Road classes a car does not use.
@@ -67,6 +68,23 @@ def drivable_network(ways: DataFrame, nodes: DataFrame, box: Box | None = None)
     return keep_largest(used, edges)
 
 
+def simplified_network(ways: DataFrame, nodes: DataFrame, box: Box | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and directed roads of the largest connected drivable network, chains contracted before they are priced.
+
+    A road runs from junction to junction (or dead end): ``u, v, length_m, pieces, highway`` (first of its sorted
+    classes), ``highways, speed, cost_c, oneway, road`` (points in driving order), ``way_ids, names``. The class mean of
+    speeds counts contracted roads, both directions of a two-way one.
+    """
+    raw = way_edges(drivable_ways(with_way_tags(ways)), nodes.select("id", "lat", "lon"))
+    if box is not None:
+        raw = edges_in_box(nodes, raw, box)
+    # a way that takes the same step twice has one piece for it
+    pieces = store(directed_edges(raw)).df.dropDuplicates(["u", "v", "way_id"])
+    roads = simplify_chains(pieces).withColumn("highways", F.col("highway"))
+    edges = store(clean_edges(store(roads).df)).df
+    return keep_largest(referenced_nodes(nodes.select("id", "lat", "lon"), edges), edges)
+
+
 def routing_edges(edges: DataFrame) -> DataFrame:
     """Directed edges with a cost, ready for path searches."""
     return directed_edges(routable(edges))

@@ -169,6 +169,56 @@ _TABLES: dict[str, str] = {
         where o.m < r.m group by 1""",
 }
 
+# roads as ways of many nodes, walked from junction to junction
+_TABLES |= {
+    "y_seg": """
+        select way_id, row_number() over (partition by way_id order by u) - 1 as pos, u, v from (
+          select a.gy * 100 + a.gx // 8 as way_id, a.id as u, b.id as v from r_nodes a join r_nodes b on b.id = a.id + 1 where a.gx < 99
+          union all select a.id + 1000000, a.id, b.id from r_nodes a join r_nodes b on b.id = a.id + 100 where a.p_size <= 5)""",
+    "y_raw": """
+        select s.u, s.v, way_id, way_id % 4 = 0 as oneway, {haversine:a.lat,a.lon,b.lat,b.lon} as length_m, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2,
+               ['tertiary', 'service', 'residential', 'secondary', 'primary', 'trunk', 'unclassified'][way_id % 7 + 1] as hw,
+               case when way_id % 5 = 0 then []::varchar[] when way_id % 5 = 1 then ['signals'] when way_id % 5 = 2 then ['25 mph', '36 mph']
+                    else [(way_id % 40 + 20) || ' mph'] end as ms,
+               case when way_id % 3 <> 0 then 'Road ' || way_id % 10 end as name
+        from y_seg s join r_nodes a on a.id = s.u join r_nodes b on b.id = s.v""",
+    "y_edges": """
+        select u, v, way_id, oneway, length_m, lon2, lat2, hw, ms, name from y_raw where hw <> 'service'
+        union all select v, u, way_id, oneway, length_m, lon1, lat1, hw, ms, name from y_raw where hw <> 'service' and not oneway""",
+    "y_pass": """
+        select id from (
+          select id, other, sum(o) as outs, sum(1 - o) as ins from (
+            select u as id, v as other, 1 as o from y_edges union all select v, u, 0 from y_edges) group by 1, 2)
+        group by 1 having count(*) = 2 and sum(outs) = sum(ins) and max(outs) = 1""",
+    "y_walk": """
+        select u as a, u as last, v as cur, length_m, oneway, 1::bigint as pieces, lon2, lat2, [hw] as hws, ms as mss, [way_id] as ways, [name] as names
+        from y_edges where u not in (select id from y_pass)
+        union all
+        select w.a, e.u, e.v, w.length_m + e.length_m, w.oneway, w.pieces + 1, w.lon2, w.lat2,
+               list_append(w.hws, e.hw), list_concat(w.mss, e.ms), list_append(w.ways, e.way_id), list_append(w.names, e.name)
+        from y_walk w join y_edges e on e.u = w.cur and e.v <> w.last
+        where w.cur in (select id from y_pass)""",
+    "y_roads": """
+        select a as u, cur as v, length_m, oneway, pieces, lon2, lat2, list_sort(list_distinct(hws)) as hws, list_sort(list_distinct(mss)) as mss,
+               array_to_string(list_transform(list_filter(range(1, len(ways) + 1), lambda i: i = 1 or ways[i] <> ways[i - 1]), lambda i: ways[i]), '>') as way_ids,
+               array_to_string(list_transform(list_filter(range(1, len(names) + 1),
+                 lambda i: names[i] is not null and (i = 1 or names[i] is distinct from names[i - 1])), lambda i: names[i]), '>') as names
+        from y_walk where cur not in (select id from y_pass)""",
+    "y_speed": """
+        select *, hws[1] as hw,
+               case when len(mss) = 0 or list_contains(list_transform(mss, lambda x: try_cast(split_part(x, ' ', 1) as int) is null), true) then null
+                    else nullif(trunc(list_avg(list_transform(mss, lambda x: try_cast(split_part(x, ' ', 1) as int))))::int, 0) end as speed
+        from y_roads""",
+    "y_class": "select hw as h, trunc(avg(speed))::int as cls from y_speed where speed is not null group by 1",
+    "y_priced": "select *, coalesce(speed, cls) as used from y_speed left join y_class on h = hw",
+    "y_links": "select u, v from y_priced union all select v, u from y_priced union all select u, u from y_priced union all select v, v from y_priced",
+    "y": """
+        select u, u from y_links group by 1
+        union
+        select l.v, min(y.m) from y join y_links l on l.u = y.n join recurring.y r on r.n = l.v
+        where y.m < r.m group by 1""",
+}
+
 # shortest paths of all pairs inside the map window, source by source: distances, then numbers of paths forward
 # and what depends on a node backward, both hop by hop along the edges some shortest path uses
 _TABLES |= {
@@ -217,6 +267,7 @@ _HEADS = {
     "w_d": "w_d(s, n, c, h) using key (s, n)", "w_p": "w_p(s, n, k, h)", "w_x": "w_x(s, n, x, r)", "w_walk": "w_walk(s, n, prev)",
     "d": "d(s, n, c, h) using key (s, n)", "d_walk": "d_walk(s, t, here, pos, prev)",
     "c": "c(n, m) using key (n)", "t": "t(n, m) using key (n)", "o": "o(n, m) using key (n)", "x_walk": "x_walk",
+    "y": "y(n, m) using key (n)", "y_walk": "y_walk",
 }
 
 _QUERIES: dict[str, str] = {
@@ -241,11 +292,7 @@ _QUERIES: dict[str, str] = {
     "road_points_latlon": """
         select u, v, 0::int as pos, lat1 as lat, lon1 as lon from r_edges
         union all select u, v, 1::int, lat2, lon2 from r_edges""",
-    "way_segments": """
-        select way_id, pos, x, y from (
-          select conv_id as way_id, row_number() over w - 1 as pos, conv_id * 7 + turn * 3 as x,
-                 lead(conv_id * 7 + turn * 3) over w as y from conversations window w as (partition by conv_id order by turn))
-        where y is not null""",
+    "way_segments": "select way_id, pos::int as pos, u as x, v as y from y_seg",
     "directed_edges": "select u, v, oneway, cost_c from r_edges",
     "one_way_edges": "select u, v, cost_c from r_clean where oneway",
     "node_count": "select count(*) as nodes from part",
@@ -256,7 +303,7 @@ _QUERIES: dict[str, str] = {
     "merge_nodes": "select id, lat, lon from r_nodes",
     "simple_edges": "select least(u, v) as u, greatest(u, v) as v, min(cost_c) as cost_c from r_parallel group by 1, 2",
     "neighbors": """
-        select distinct u as id, v as next, cost_c from r_parallel where u in (select id from r_nodes where p_size <= 10)""",
+        select distinct u as id, v as next, cost_c from r_parallel""",
     "node_sample": "select id, draw from s_sample",
     "sample_pairs": "select a.id as node1, b.id as node2 from s_sample a, s_sample b where a.id <> b.id",
     "bbox_subgraph": """
@@ -360,6 +407,12 @@ _QUERIES: dict[str, str] = {
                floor({haversine:lat1,lon1,lat2,lon2} + 0.5)::bigint as metres
         from o_clean join o on o.n = u
         where o.m = (select m from o group by m order by count(*) desc, m limit 1)""",
+    "network_v2": """
+        select u, v, pieces, hw as highway, array_to_string(hws, ',') as highways, used as speed,
+               greatest(1, floor(length_m * 100 / used + 0.5)::bigint) as cost_c, oneway, floor(length_m + 0.5)::bigint as metres,
+               pieces + 1 as points, lon2, lat2, way_ids, names
+        from y_priced join y on y.n = u
+        where y.m = (select m from y group by m order by count(*) desc, m limit 1)""",
     "iterate_map_native": """
         select event_id, list_reduce(list_prepend(value / 1000, list_transform(range(100), lambda i: 0.0::double)),
                lambda r, i: r * r - 0.5::double) as result from events""",
