@@ -11,6 +11,7 @@ from waymesh.functions import edge_label, iterate_map, iterate_map_pandas, road_
 from waymesh.operators import betweenness as between
 from waymesh.operators import cache, cleaning, components, graph, importance, nearest, overlay, shaping, shortest
 from waymesh.operators.geometry import route_geometry as draw_routes
+from waymesh.operators.levels import with_overlay
 from waymesh.operators.requests import answer_requests as answer
 from waymesh.operators.requests import misses_of, parse_requests as parse
 from waymesh.operators.steps import path_steps as steps_of
@@ -286,14 +287,14 @@ def sssp_tiled(spark, folder):
 @_query
 def shortest_paths_tiled(spark, folder):
     pairs = graph.sample_pairs(derived.nodes(spark, folder), SAMPLE, "w")
-    found = shortest.shortest_paths(_tiled(spark, folder), pairs)
+    found = shortest.shortest_paths(with_overlay(_tiled(spark, folder), derived.nodes(spark, folder)), pairs)
     return found.select("node1", "node2", "cost_c", "hops", _text())
 
 
 @_query
 def route_pairs_tiled(spark, folder):
     pairs = store(graph.sample_pairs(derived.nodes(spark, folder), SAMPLE, "w")).df
-    tiles = _tiled(spark, folder)
+    tiles = with_overlay(_tiled(spark, folder), derived.nodes(spark, folder))
     known = store(shortest.shortest_paths(tiles, pairs.filter("node1 < node2"))).df
     answers, _ = shortest.route_pairs(pairs, tiles, known)
     return answers.select("node1", "node2", "cost_c", "hops", _text())
