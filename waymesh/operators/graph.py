@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geo import EARTH_RADIUS_M
+from waymesh.operators.windows import edges_in_window
 from waymesh.runtime import store
 
 # Fixed value: metres of one degree used for the margin of a window.
@@ -129,7 +130,12 @@ class Box:
 
 
 def edges_in_box(nodes: DataFrame, edges: DataFrame, box: Box) -> DataFrame:
-    """Edges with both ends inside the box."""
+    """Edges with both ends inside the box.
+
+    A table stored by place (:mod:`waymesh.operators.windows`) is filtered as it is read; others are joined with the nodes.
+    """
+    if "z_u" in edges.columns:
+        return edges_in_window(edges, box)
     inside = nodes.filter(box.holds()).select("id")
     return (
         edges.join(inside, edges["u"] == inside["id"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions import edge_label, iterate_map, iterate_map_pandas, road_latlon, split_label
 from waymesh.operators import betweenness as between
-from waymesh.operators import cache, cleaning, components, graph, importance, nearest, overlay, shaping, shortest
+from waymesh.operators import cache, cleaning, components, graph, importance, nearest, overlay, shaping, shortest, windows
 from waymesh.operators.geometry import route_geometry as draw_routes
 from waymesh.operators.levels import with_overlay
 from waymesh.operators.requests import answer_requests as answer
@@ -17,7 +18,7 @@ from waymesh.operators.requests import misses_of, parse_requests as parse
 from waymesh.operators.steps import path_steps as steps_of
 from waymesh.operators.tiles import tile_edges
 from waymesh.plans import derived, network, routes
-from waymesh.runtime import store
+from waymesh.runtime import checkpoint_root, store
 from waymesh.sources import messages, paths as path_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,13 @@ def _plain(spark: SparkSession, folder: str) -> DataFrame:
     return store(derived.edges(spark, folder).select("u", "v", "cost_c")).df
 
 
+def _by_place(spark: SparkSession, folder: str, edges: DataFrame) -> DataFrame:
+    """``edges`` stored by the places of their ends, as map windows read them."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/waymesh/{uuid.uuid4().hex}"
+    windows.save_edges_by_place(edges, derived.nodes(spark, folder), path)
+    return windows.load_edges_by_place(spark, path)
+
+
 def _text(column: str = "path"):
     return F.array_join(F.col(column).cast("array<string>"), ">").alias(column)
 
@@ -204,13 +212,14 @@ def sample_pairs(spark, folder):
 def bbox_subgraph(spark, folder):
     box = _middle(spark, folder)
     return graph.bbox_subgraph(
-        derived.nodes(spark, folder), _plain(spark, folder), (box.south, box.east), (box.north, box.west)
+        derived.nodes(spark, folder), _by_place(spark, folder, derived.edges(spark, folder).select("u", "v", "cost_c")), (box.south, box.east), (box.north, box.west)
     )
 
 
 @_query
 def edges_in_box(spark, folder):
-    return graph.edges_in_box(derived.nodes(spark, folder), _plain(spark, folder), _middle(spark, folder))
+    placed = _by_place(spark, folder, derived.edges(spark, folder).select("u", "v", "cost_c"))
+    return graph.edges_in_box(derived.nodes(spark, folder), placed, _middle(spark, folder))
 
 
 # nearest nodes and requests
@@ -429,7 +438,7 @@ def attach_centrality_way(spark, folder):
 
 
 def _overlay(spark: SparkSession, folder: str) -> DataFrame:
-    edges = derived.edges_with_centrality(spark, folder).select("u", "v", "centrality")
+    edges = _by_place(spark, folder, derived.edges_with_centrality(spark, folder).select("u", "v", "centrality"))
     return overlay.centrality_in_window(derived.nodes(spark, folder), edges, _middle(spark, folder))
 
 
