@@ -19,7 +19,8 @@ from waymesh.operators.steps import path_steps as steps_of
 from waymesh.operators.tiles import tile_edges
 from waymesh.plans import derived, network, routes
 from waymesh.runtime import checkpoint_root, store
-from waymesh.sources import messages, paths as path_files
+from waymesh.sources import messages, osm, paths as path_files, tables
+from waymesh.streaming import requests as job
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,9 +61,14 @@ def _plain(spark: SparkSession, folder: str) -> DataFrame:
     return store(derived.edges(spark, folder).select("u", "v", "cost_c")).df
 
 
+def _fresh(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/waymesh/{uuid.uuid4().hex}"
+
+
 def _by_place(spark: SparkSession, folder: str, edges: DataFrame) -> DataFrame:
     """``edges`` stored by the places of their ends, as map windows read them."""
-    path = f"{checkpoint_root(spark).rstrip('/')}/waymesh/{uuid.uuid4().hex}"
+    path = _fresh(spark)
     windows.save_edges_by_place(edges, derived.nodes(spark, folder), path)
     return windows.load_edges_by_place(spark, path)
 
@@ -522,6 +528,91 @@ def network_v2(spark, folder):
     )
 
 
+# sources: written from the tables, read back by the operators
+
+
+def _extract(elements: DataFrame) -> str:
+    """Write ``id, element`` as an extract in files of up to 5,000 ids, each a document of its own."""
+    path = _fresh(elements.sparkSession)
+    bodies = elements.groupBy(F.floor(F.col("id") / 5000).alias("part")).agg(F.array_join(F.collect_list("element"), "\n").alias("body"))
+    bodies.select("part", F.concat(F.lit("<osm>\n"), "body", F.lit("\n</osm>")).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@_query
+def osm_xml_nodes(spark, folder):
+    """Nodes of an extract; every fifth has a tag."""
+    tag = F.when(F.col("id") % 5 == 0, F.format_string('<tag k="highway" v="%s"/>', F.lower(F.substring_index("p_type", " ", 1)))).otherwise("")
+    element = F.format_string('<node id="%d" lat="%s" lon="%s">%s</node>', "id", F.col("lat").cast("string"), F.col("lon").cast("string"), tag)
+    path = _extract(derived.nodes(spark, folder).select("id", element.alias("element")))
+    return osm.read_osm_nodes(spark, path).select("id", "lat", "lon", F.col("tags")["highway"].alias("highway"))
+
+
+@_query
+def osm_xml_ways(spark, folder):
+    """Ways of an extract with their nodes in order."""
+    refs = F.array_join(F.transform("nd", lambda n: F.format_string('<nd ref="%d"/>', n)), "")
+    tags = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.format_string('<tag k="%s" v="%s"/>', t["key"], t["value"])), "")
+    element = F.format_string('<way id="%d">%s%s</way>', "way_id", refs, tags)
+    path = _extract(derived.road_ways(spark, folder).select(F.col("way_id").alias("id"), element.alias("element")))
+    return osm.read_osm_ways(spark, path).select(
+        "way_id", F.concat_ws(">", F.transform("nd", lambda n: n.cast("string"))).alias("nd"),
+        F.col("tags")["highway"].alias("highway"), F.col("tags")["maxspeed"].alias("maxspeed"), F.col("tags")["name"].alias("name"),
+    )
+
+
+@_query
+def load_nodes_csv(spark, folder):
+    """Nodes from a CSV file, merged into a stored table that already holds some of them."""
+    nodes = derived.nodes(spark, folder).select("id", "lat", "lon")
+    csv, stored = _fresh(spark), _fresh(spark)
+    tables.write_csv(nodes.select(F.col("id").alias("osmid"), F.col("lat").alias("y"), F.col("lon").alias("x")), csv)
+    tables.save_nodes(nodes.filter("id % 3 = 0"), stored)
+    return tables.load_nodes(spark, csv, spark.read.parquet(stored), version=2)
+
+
+@_query
+def load_edges_csv(spark, folder):
+    """Edges of the second version from a CSV file, with their lines."""
+    path = _fresh(spark)
+    tables.write_csv(derived.edges(spark, folder).select("u", "v", "oneway", (F.col("cost_c") / 100).alias("weighted_distance"), "road"), path)
+    first = F.get("road", F.lit(0))
+    return tables.read_edges_csv(spark, path).select(
+        "u", "v", F.col("oneway").cast("boolean").alias("oneway"), "cost_c", F.size("road").alias("points"), first["lon"].alias("lon"), first["lat"].alias("lat")
+    )
+
+
+@_query
+def stored_edges(spark, folder):
+    """Edges stored twice over, only those of which both ends are stored nodes."""
+    path = _fresh(spark)
+    edges, nodes = _plain(spark, folder), derived.nodes(spark, folder)
+    tables.save_edges(edges, nodes, path)
+    tables.save_edges(edges, nodes.filter("id % 10 <> 0"), path)
+    return spark.read.parquet(path).select("u", "v", "cost_c")
+
+
+@_query
+def appended_paths(spark, folder):
+    """The cache after the same paths, some twice, came in two overlapping loads."""
+    path = _fresh(spark)
+    known = store(derived.cached_paths(spark, folder)).df
+    path_files.append_paths(known.filter("node1 % 2 = 0"), path)
+    path_files.append_paths(known, path)
+    return path_files.open_cache(spark, path).select("node1", "node2", "cost_c", "hops", _text())
+
+
+@_query
+def streamed_requests(spark, folder):
+    """Requests that arrived as a stream of messages, parsed on the way and appended to a table."""
+    topic, out = _fresh(spark), _fresh(spark)
+    ids = F.regexp_replace("value", r"^\{", F.concat(F.lit('{"request_id":'), F.col("request_id").cast("string"), F.lit(",")))
+    derived.request_messages(spark, folder).select(ids).write.text(topic)
+    stream = parse(messages.read_requests(spark, "text", path=topic))
+    job.start(stream, "parquet", checkpoint=_fresh(spark), path=out, available_now=True).awaitTermination()
+    return spark.read.parquet(out).withColumn("request_id", F.col("request_id").cast("bigint"))
+
+
 # load test
 
 

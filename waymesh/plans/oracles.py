@@ -407,6 +407,22 @@ _QUERIES: dict[str, str] = {
                floor({haversine:lat1,lon1,lat2,lon2} + 0.5)::bigint as metres
         from o_clean join o on o.n = u
         where o.m = (select m from o group by m order by count(*) desc, m limit 1)""",
+    "osm_xml_nodes": """
+        select id, lat, lon, case when id % 5 = 0 then lower(split_part(p_type, ' ', 1)) end as highway from r_nodes""",
+    "osm_xml_ways": """
+        select way_id, nd, ['tertiary', 'service', 'residential', 'secondary', 'primary', 'trunk', 'unclassified'][way_id % 7 + 1] as highway,
+               case when way_id % 5 = 0 then null when way_id % 5 = 1 then 'signals' when way_id % 5 = 2 then '25 mph;36 mph'
+                    else (way_id % 40 + 20) || ' mph' end as maxspeed,
+               case when way_id % 3 <> 0 then 'Road ' || way_id % 10 end as name
+        from (
+          select gy * 100 + b as way_id, string_agg(id::varchar, '>' order by id) as nd
+          from (select *, unnest(case when gx % 8 = 0 and gx > 0 then [gx // 8 - 1, gx // 8] else [gx // 8] end) as b from r_nodes) group by 1
+          union all
+          select a.id + 1000000, a.id || '>' || b.id from r_nodes a join r_nodes b on b.id = a.id + 100 where a.p_size <= 5)""",
+    "load_nodes_csv": "select id, lat, lon from r_nodes",
+    "load_edges_csv": "select u, v, oneway, cost_c, 2::int as points, lon1 as lon, lat1 as lat from r_edges",
+    "stored_edges": "select u, v, cost_c from r_edges where u % 10 <> 0 and v % 10 <> 0",
+    "appended_paths": "select node1, node2, cost_c, hops, path from q_cache",
     "network_v2": """
         select u, v, pieces, hw as highway, array_to_string(hws, ',') as highways, used as speed,
                greatest(1, floor(length_m * 100 / used + 0.5)::bigint) as cost_c, oneway, floor(length_m + 0.5)::bigint as metres,
@@ -421,6 +437,7 @@ _QUERIES |= {
     "sssp_tiled": _QUERIES["sssp_sample"], "shortest_paths_tiled": _QUERIES["shortest_paths_sample"],
     "route_pairs_tiled": _QUERIES["route_pairs"],
 }
+_QUERIES["streamed_requests"] = _QUERIES["parse_requests"]
 _QUERIES["iterate_map_vectorised"] = _QUERIES["iterate_map_native"]
 
 _TABLES["q_all_spots"] = "select lat1 as lat, lng1 as lng from q_requests union select lat2, lng2 from q_requests"
