@@ -440,6 +440,18 @@ def attach_centrality_way(spark, folder):
     return importance.attach_centrality(edges, new, key="way").select("u", "v", "way_id", "centrality")
 
 
+@_query
+def window_importance(spark, folder):
+    edges = derived.edges(spark, folder).select("u", "v", "cost_c", F.floor(F.col("u") / 3).alias("way_id"))
+    drawn, points = routes.window_importance(
+        derived.nodes(spark, folder), _by_place(spark, folder, edges), _middle(spark, folder), per_tile_edges=WINDOW_TILE
+    )
+    nothing = F.lit(None).cast("bigint")
+    return drawn.select(F.lit("edge").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), "way_id", _rounded("centrality", 9)).unionByName(
+        points.select(F.lit("node").alias("kind"), F.col("id").alias("a"), nothing.alias("b"), nothing.alias("way_id"), _rounded("centrality", 9))
+    )
+
+
 # overlay
 
 

@@ -437,6 +437,16 @@ _QUERIES |= {
     "sssp_tiled": _QUERIES["sssp_sample"], "shortest_paths_tiled": _QUERIES["shortest_paths_sample"],
     "route_pairs_tiled": _QUERIES["route_pairs"],
 }
+_QUERIES["window_importance"] = f"""
+    select 'edge' as kind, e.u as a, e.v as b, e.u // 3 as way_id, m.c as centrality
+    from ({_QUERIES["edges_in_box"]}) e left join (
+      select y.u // 3 as w, max(f.betweenness) as c
+      from ({_QUERIES["edges_in_box"]}) y join ({_QUERIES["edge_betweenness_window"]}) f on f.u = least(y.u, y.v) and f.v = greatest(y.u, y.v)
+      group by 1) m on m.w = e.u // 3
+    union all
+    select 'node', q.id, null, null, f.betweenness
+    from r_nodes q join r_middle k on q.lat between k.s and k.n and q.lon between k.w and k.e
+      left join ({_QUERIES["node_betweenness_window"]}) f on f.node = q.id"""
 _QUERIES["streamed_requests"] = _QUERIES["parse_requests"]
 _QUERIES["iterate_map_vectorised"] = _QUERIES["iterate_map_native"]
 
