@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -59,3 +60,20 @@ def test_query_figures(spark, encoding):
     got = bpe.digests(frame(spark), PATH, public_tokenizers.PATTERN).collect()
     assert sorted((str(g.doc_id), g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in got) == sorted(want)
     assert bpe.digests(frame(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_words_take_few_rounds(tool, encoding):
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    dashes = "-" * 100_001
+    begin = time.process_time()
+    ids = tool.encode([word, dashes])
+    assert time.process_time() - begin < 60  # one merge of a word at a time would take hours
+    assert ids == [packed(encoding.encode_ordinary(word)), packed(encoding.encode_ordinary(dashes))]
+    assert tool.decode(ids) == [word.encode(), dashes.encode()]
+
+
+def test_random_words_of_few_letters(tool, encoding):
+    rng = random.Random(10)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for letters in ("ab", "-=", "ést", "ing ", "漢字a") for _ in range(60)]
+    assert tool.encode(words) == [packed(encoding.encode_ordinary(w)) for w in words]

@@ -3,10 +3,15 @@
 Encoding. A text is cut by the vocabulary's pattern; each piece that is no token itself is
 spread over rows (word, position, token), one per byte. The recursive query joins
 neighbouring rows with the merge table and contracts, per word and round, the leftmost
-pair of minimum rank, until no pair of any word can be merged. If no pair that the new
-token could form has a lower rank, the next pair of the same rank would follow anyway, so
-all of that rank, taken from the left without overlap, are contracted in the same round;
-for other tokens only the leftmost is. Either way the result is that of one merge at a time.
+pair of minimum rank, until no pair of any word can be merged. Two kinds of pairs are
+contracted in the same round, because one merge at a time would contract them before anything
+next to them changes:
+
+* all pairs of the minimum rank, from the left without overlap, if no pair that the new token could form has a lower rank;
+* a pair of any rank whose neighbours can only be merged later. The merge table holds, for two tokens side by side, the
+  lowest rank of a token that could ever be made across the place between them while the left or the right one is whole.
+
+So the rounds depend little on the length of a word, and the result is that of one merge at a time.
 
 Decoding joins (document, position, id) rows with the vocabulary and puts the bytes
 together with an ordered aggregation.
@@ -36,43 +41,73 @@ from waymesh.runtime import ship
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
 MEMORY_PIECES, MEMORY_BYTES = 300_000, 64
 #: Bytes of text that are cut into pieces at a time (a single longer text goes alone).
-SLICE_BYTES = 700_000
+SLICE_BYTES = 1_400_000
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
-QUERY_BYTES = 200_000
+QUERY_BYTES = 250_000
+#: Memory of a query; one on a single longer piece or document may take `LONG_BYTES` more per byte beyond the usual.
+QUERY_MB, LONG_BYTES = 300, 1_000
 #: Tokens that one decoding query works on (a single longer document goes alone).
 QUERY_TOKENS = 100_000
 
-# ``best`` holds the minimum rank of a word's pairs and, in its lower half, the leftmost position of it;
-# ``nth`` counts from the last row that is no hit, so odd ones can be contracted and even ones vanish
-_ENCODE = """
-with recursive work(word, pos, token, opens, rank, best) as (
-    select word, pos, s.token, opens, m.merged, min(m.merged::bigint << 32 | pos) over (partition by word)
-    from (
+# ``pair`` is a token and the one behind it, ``rank`` that of the token they make, ``best`` the minimum rank of a
+# word's pairs with the leftmost position of it in its lower half; ``nth`` counts from the last row that is no hit, so
+# odd ones can be contracted and even ones vanish. ``from_left`` and ``from_right`` are the lowest ranks at which the
+# place between the two tokens can still vanish while its right or left token stays as it is (``never``: at no rank);
+# the last row of a word has no pair, so ``lag`` sees a closed place before the first row of the next word.
+_STEP = """
+    select w.word, w.pos, w.token, w.opens, m.merged, coalesce(m.from_left, {never}), coalesce(m.from_right, {never}),
+           min(m.merged::bigint << 32 | w.pos) over (partition by word)
+    from {rows} w left join pairs m on m.pair = w.pair
+"""
+_NEVER = 2147483647
+_REACH = 4  # places looked at on either side of a pair
+
+
+def _shut(side: str, above: str) -> str:
+    """Whether nothing from one side can reach a pair before its own rank is due: a closed place, and only later pairs up to it."""
+    found = "false"
+    for k in range(_REACH, 0, -1):
+        found = f"({side}_{k} {above} rank or rank_{side}_{k} {above} rank and {found})"
+    return found
+
+
+_AROUND = ", ".join(
+    f"{move}(from_{side}, {k}, {_NEVER}) over places as {side}_{k}, {move}(coalesce(rank, {_NEVER}), {k}, {_NEVER}) over places as rank_{side}_{k}"
+    for move, side in (("lag", "left"), ("lead", "right")) for k in range(1, _REACH + 1)
+)
+_ENCODE = f"""
+with recursive work(word, pos, token, opens, rank, from_left, from_right, best) as (
+    {_STEP.format(never=_NEVER, rows="""(
         select word, pos, token, lag(word) over (order by pos) is distinct from word as opens,
                case when lead(word) over (order by pos) = word then token::bigint * 65536 + lead(token) over (order by pos) end as pair
         from start
-    ) s
-    left join pairs m on m.pair = s.pair
+    )""")}
   union all
-    select word, n.pos, n.token, opens, m.merged, min(m.merged::bigint << 32 | n.pos) over (partition by word)
-    from (
-        select word, row_number() over (order by pos) as pos, token, opens,
-               case when lead(word) over (order by pos) = word then token::bigint * 65536 + lead(token) over (order by pos) end as pair
-        from (
-            select word, pos, opens,
-                   case when hit and (pos = leftmost or not alone and nth % 2 = 1) then least else token end as token,
-                   case when alone then pos = leftmost + 1 else nth % 2 = 0 end as gone
+    {_STEP.format(never=_NEVER, rows="""(
+        select * from (
+            select word, opens, token, coalesce(lag(hit) over (order by pos), false) as gone,
+                   (row_number() over (order by pos) - sum(hit::integer) over (order by pos) + hit::integer)::integer as pos,
+                   case when hit then case when lead(word, 2) over (order by pos) = word then token::bigint * 65536 + lead(token, 2) over (order by pos) end
+                        when lead(word) over (order by pos) = word then token::bigint * 65536 + lead(token) over (order by pos) end as pair
             from (
-                select *, case when opens then 1 else pos - max(case when not hit then pos when opens then pos - 1 end) over before end as nth
+                select word, pos, opens, hit, case when hit then rank else token end as token
                 from (
-                    select word, pos, work.token, opens, best >> 32 as least, best & 4294967295 as leftmost,
-                           rank is not distinct from best >> 32 as hit, u.token is not null as alone
-                    from work left join stepwise u on u.token = best >> 32 where best is not null
+                    select word, pos, opens, token, rank, rank is not null and (
+                        case when rank > best >> 32 then false when alone then pos = best & 4294967295
+                             when opens then true else (pos - after) % 2 = 1 end
+                        or {shut_left} and {shut_right}
+                    ) as hit
+                    from (
+                        select work.*, u.token is not null as alone,
+                               max(case when rank is distinct from best >> 32 then pos when opens then pos - 1 end) over before as after,
+                               {around}
+                        from work left join stepwise u on u.token = best >> 32 where best is not null
+                        window places as (order by pos), before as (order by pos rows between unbounded preceding and 1 preceding)
+                    )
                 )
-                window before as (order by pos rows between unbounded preceding and 1 preceding)
             )
         ) where not gone
-    ) n left join pairs m on m.pair = n.pair
+    )""".replace("{shut_left}", _shut("left", ">")).replace("{shut_right}", _shut("right", ">=")).replace("{around}", _AROUND))}
 )
 select word, list(token order by pos) as ids from work where best is null group by word
 """
@@ -101,32 +136,52 @@ class Codec:
             raise ValueError("pairs of ids are packed as two numbers below 65536")
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+        self.allowed = QUERY_MB
+        # nothing may go to a folder of the machine
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": ""})
         vocab = pd.DataFrame({"id": list(self.ranks.values()), "digits": [t.hex() for t in self.ranks]})
         self.db.execute("create table vocab as select id::integer as id, digits, unhex(digits) as token from vocab")
         self._pairs()
-        # tokens that could join a neighbour at a lower rank than their own
-        self.db.execute(
-            "create table stepwise as select distinct token::bigint as token from (select pair // 65536 as token, merged from pairs "
-            "union all select pair % 65536, merged from pairs) where merged < token"
-        )
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
 
     def _pairs(self) -> None:
-        """All pairs of tokens that together are a token."""
-        ranks, first, second, merged = self.ranks, [], [], []
+        """All pairs of tokens that are a token together or could become one, and what may happen between them."""
+        ranks, joined, parts = self.ranks, [], []
         for token, rank in ranks.items():
+            parts.append((rank, rank, True)), parts.append((rank, rank, False))
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    first.append(left), second.append(right), merged.append(rank)
-        pair = np.array(first, dtype=np.int64) * 65536 + np.array(second, dtype=np.int64)
-        found = pd.DataFrame({"pair": pair, "merged": np.array(merged, dtype=np.int32)})  # noqa: F841
-        self.db.execute("create table pairs as select pair, merged from found")
+                    joined.append((left, right, rank))
+                if left is not None:
+                    parts.append((rank, left, True))
+                if right is not None:
+                    parts.append((rank, right, False))
+        made = pd.DataFrame(np.array(joined, dtype=np.int64).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
+        part = pd.DataFrame(np.array(parts, dtype=np.int32).reshape(-1, 3), columns=["token", "part", "front"])  # noqa: F841
+        self.db.execute(
+            "create table pairs as select pair, min(made)::integer as merged, min(l)::integer as from_left, min(r)::integer as from_right from ("
+            "select a * 65536 + b as pair, merged as made, null as l, null as r from made union all "
+            "select part::bigint * 65536 + b, null, merged, null from made join part on token = a and front = 0 union all "
+            "select a * 65536 + part::bigint, null, null, merged from made join part on token = b and front = 1) group by pair"
+        )
+        # tokens that could join a neighbour at a lower rank than their own
+        self.db.execute(
+            "create table stepwise as select distinct token::bigint as token from (select a as token, merged from made "
+            "union all select b, merged from made) where merged < token"
+        )
+
+    def _allow(self, beyond: int) -> None:
+        """Memory for a query that is ``beyond`` bytes larger than the usual ones."""
+        wanted = QUERY_MB + max(beyond, 0) * LONG_BYTES // 1_000_000
+        if wanted != self.allowed:
+            self.db.execute(f"set memory_limit = '{wanted}MB'")
+            self.allowed = wanted
 
     def _merge(self, pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """The ids of some pieces by their numbers: one recursive query."""
         sizes = np.array([len(p) for p in pieces])
+        self._allow(int(sizes.sum()) - QUERY_BYTES)
         start = pd.DataFrame({  # noqa: F841
             "word": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
             "pos": np.arange(sizes.sum(), dtype=np.int32),
@@ -188,6 +243,7 @@ class Codec:
             tokens += len(data) // 4
             if tokens >= QUERY_TOKENS or k == len(packed) - 1:
                 part = packed[first:k + 1]
+                self._allow(tokens - QUERY_TOKENS)
                 sizes = np.array([len(p) // 4 for p in part])
                 ids = pd.DataFrame({  # noqa: F841
                     "doc": np.repeat(np.arange(first, k + 1, dtype=np.int32), sizes),
