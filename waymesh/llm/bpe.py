@@ -26,6 +26,7 @@ are encoded alike. Special tokens are ordinary text. Other columns play no part.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from waymesh.llm.common import text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
-MEMORY_PIECES, MEMORY_BYTES = 300_000, 64
+MEMORY_PIECES, MEMORY_BYTES = 500_000, 64
 #: Bytes of text that are cut into pieces at a time (a single longer text goes alone).
 SLICE_BYTES = 1_400_000
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
@@ -47,7 +48,7 @@ QUERY_BYTES = 250_000
 #: Memory of a query; one on a single longer piece or document may take `LONG_BYTES` more per byte beyond the usual.
 QUERY_MB, LONG_BYTES = 300, 1_000
 #: Tokens that one decoding query works on (a single longer document goes alone).
-QUERY_TOKENS = 100_000
+QUERY_TOKENS = 200_000
 
 # ``pair`` is a token and the one behind it, ``rank`` that of the token they make, ``best`` the minimum rank of a
 # word's pairs with the leftmost position of it in its lower half; ``nth`` counts from the last row that is no hit, so
@@ -112,10 +113,7 @@ with recursive work(word, pos, token, opens, rank, from_left, from_right, best)
 select word, list(token order by pos) as ids from work where best is null group by word
 """
 
-_DECODE = """
-select doc, unhex(string_agg(v.digits, '' order by pos)) as bytes
-from ids join vocab v on v.id = ids.id group by doc
-"""
+_DECODE = "select doc, list(v.token order by pos) as parts from ids join vocab v on v.id = ids.id group by doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,24 +137,24 @@ class Codec:
         self.allowed = QUERY_MB
         # nothing may go to a folder of the machine
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": ""})
-        vocab = pd.DataFrame({"id": list(self.ranks.values()), "digits": [t.hex() for t in self.ranks]})
-        self.db.execute("create table vocab as select id::integer as id, digits, unhex(digits) as token from vocab")
+        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "token": pa.array(self.ranks, pa.binary())})  # noqa: F841
+        self.db.execute("create table vocab as select id, token from vocab")
         self._pairs()
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
 
     def _pairs(self) -> None:
         """All pairs of tokens that are a token together or could become one, and what may happen between them."""
-        ranks, joined, parts = self.ranks, [], []
+        ranks, joined, parts = self.ranks, array("i"), array("i")
         for token, rank in ranks.items():
-            parts.append((rank, rank, True)), parts.append((rank, rank, False))
+            parts.extend((rank, rank, 1, rank, rank, 0))
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    joined.append((left, right, rank))
+                    joined.extend((left, right, rank))
                 if left is not None:
-                    parts.append((rank, left, True))
+                    parts.extend((rank, left, 1))
                 if right is not None:
-                    parts.append((rank, right, False))
+                    parts.extend((rank, right, 0))
         made = pd.DataFrame(np.array(joined, dtype=np.int64).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
         part = pd.DataFrame(np.array(parts, dtype=np.int32).reshape(-1, 3), columns=["token", "part", "front"])  # noqa: F841
         self.db.execute(
@@ -250,8 +248,15 @@ class Codec:
                     "pos": np.arange(sizes.sum(), dtype=np.int32),
                     "id": np.frombuffer(b"".join(part), dtype="<u4").astype(np.int32),
                 })
-                for doc, data_of in self.db.execute(_DECODE).fetchall():
-                    out[doc] = data_of
+                found = self.db.sql(_DECODE).to_arrow_table().combine_chunks()
+                if found.num_rows:
+                    parts = found.column("parts").chunk(0)
+                    tokens_of = parts.values.cast(pa.large_binary())
+                    starts = np.frombuffer(tokens_of.buffers()[1], dtype=np.int64)[tokens_of.offset:]
+                    cuts = starts[parts.offsets.to_numpy()].tolist()  # the tokens of a list lie side by side
+                    body = tokens_of.buffers()[2]
+                    for doc, begin, end in zip(found.column("doc").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                        out[doc] = body[begin:end].to_pybytes()
                 first, tokens = k + 1, 0
         return out
 
