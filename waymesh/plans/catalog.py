@@ -20,6 +20,7 @@ from waymesh.operators.tiles import tile_edges
 from waymesh.plans import derived, network, routes
 from waymesh.runtime import checkpoint_root, store
 from waymesh.sources import messages, osm, paths as path_files, tables
+from waymesh.sources.path_store import PathStore
 from waymesh.streaming import requests as job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -614,6 +615,22 @@ def appended_paths(spark, folder):
     return path_files.open_cache(spark, path).select("node1", "node2", "cost_c", "hops", _text())
 
 
+@_query
+def partitioned_cache_lookup(spark, folder):
+    """Requested pairs looked up in a cache of hash partitions: loaded, a load repeated, and compacted before."""
+    paths = PathStore(spark, _fresh(spark))
+    known = store(derived.cached_paths(spark, folder)).df
+    pairs = store(derived.request_pairs(spark, folder)).df
+    paths.append(known, "all")
+    paths.append(known.filter("hops = 2"), "dearer")
+    paths.append(known.filter("hops = 2"), "dearer")
+    paths.compact()
+    paths.append(known.limit(0), "none", asked=cache.cache_misses(pairs, known))
+    found = pairs.join(paths.lookup(pairs), ["node1", "node2"], "left")
+    status = F.when(F.col("path").isNull(), "no path").otherwise("found")
+    return found.select("request_id", "node1", "node2", "cost_c", "hops", status.alias("status"))
+
+
 @_query
 def streamed_requests(spark, folder):
     """Requests that arrived as a stream of messages, parsed on the way and appended to a table."""

@@ -345,6 +345,9 @@ _QUERIES: dict[str, str] = {
     "route_cache_hits": """
         select request_id, q.node1, q.node2, cost_c, hops, path
         from q_requests q join q_cache c on c.node1 = q.node1 and c.node2 = q.node2""",
+    "partitioned_cache_lookup": """
+        select request_id, q.node1, q.node2, cost_c, hops, case when c.node1 is null then 'no path' else 'found' end as status
+        from q_requests q left join q_cache c on c.node1 = q.node1 and c.node2 = q.node2""",
     "route_cache_misses": """
         select distinct q.node1, q.node2 from q_requests q left join q_cache c on c.node1 = q.node1 and c.node2 = q.node2
         where c.node1 is null""",
