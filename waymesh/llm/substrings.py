@@ -7,8 +7,9 @@ Deep-shallow suffix sorting, dealt over the cluster by anchors:
    equal ones. Equal windows have equal anchors at equal places, so only windows whose anchor hash occurs
    twice can repeat, and they can be told apart anchor by anchor. Neighbouring windows share
    anchors: about one number per 75 bytes is all that is counted.
-3. For anchors that occur again, the *context* (the bytes of all windows of that anchor) is cut out
-   of the text. Equal contexts are folded on the map side; their windows are repeated.
+3. The *context* of an anchor is the bytes of all its windows in a row. It travels as a hash first: the windows of a
+   context that occurs again are repeated. Bytes are only cut out of the texts for anchors with several
+   distinct contexts, once per distinct context.
 4. The suffixes of the contexts of an anchor, one per window, are sorted to the depth of a window: by
    multikey quicksort on words of eight bytes to a shallow depth, then by blind tries for the
    groups whose members still agree. Suffixes that agree to the depth of a window are repeated.
@@ -16,6 +17,10 @@ Deep-shallow suffix sorting, dealt over the cluster by anchors:
    are not sorted but counted by 16 bytes that stand for them, on the map side first.
 5. The marks go back to the texts, and every row gets what is left of it.
 
+Anchors that occur once and texts without anything to cut out or to remove stay where they are: tasks get one bit per cell of a
+table of fixed size (`CELLS`, 8 MB at any input) and let through what falls into a cell that is taken. Where nearly
+all cells are taken more is shuffled; the result stays the same.
+
 Matches never cross texts; overlaps count; windows are judged on the input. Bytes are those of UTF-8.
 Defined results: a null text is empty; a text shorter than ``length`` keeps all bytes. Equal rows are
 copies of each other. Other columns play no part. An empty table gives an empty one.
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.llm.common import slices, text_key, text_of, utf8_length
@@ -41,6 +46,10 @@ GRAM = 48
 SHALLOW = 32
 #: Distinct contexts of an anchor beyond which its windows are counted one by one.
 CROWD = 20_000
+#: Cells of a table of bits that tasks get, a power of two.
+CELLS = 1 << 26
+#: Runs or bytes of contexts that a task hands on at a time.
+_RUNS, _CONTEXT_BYTES = 50_000, 16_000_000
 #: Bytes of text that are hashed at a time, no more than there are places (24 bits).
 _CHUNK = 8_000_000
 _PLACE = np.uint64(0xFFFFFF)
@@ -266,35 +275,81 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return drop_copies(bodies, "id", "body").select(text_key(F.col("body")).alias("key"), "body")
 
 
+def _taken(cells: DataFrame):
+    """A filter from the column ``cell`` of a table, for cells below ``CELLS``: whether a value's cell is taken.
+
+    The bits are put together over the cluster; their number does not depend on the table.
+    """
+    word = F.shiftright("cell", 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit")
+    words = cells.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(CELLS // 64, dtype="<i8")
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = cells.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def taken(cell: pd.Series) -> pd.Series:
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        at = cell.to_numpy()
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return taken
+
+
+def _cell(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(CELLS - 1).cast("bigint"))
+
+
+def _with_keys(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``texts`` and ``found`` joined by ``key``; texts whose key is surely not there are not moved."""
+    cell = _cell(F.xxhash64("key"))
+    return texts.filter(_taken(found.select(cell.alias("cell")))(cell)).join(found, "key")
+
+
 def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
-    """``key`` and arrays ``h, first, last`` per distinct text."""
+    """Runs of windows of one anchor: ``key, h, c, first, windows``; ``c`` is a hash of the run's context."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, batch["body"]):
                 bodies = [b.encode() for b in part["body"]]
                 found = [text_anchors(bodies[0], length)] if len(bodies) == 1 else anchors(bodies, length)
-                yield pd.DataFrame({"key": part["key"], **{n: [f[k] for f in found] for k, n in enumerate(("h", "first", "last"))}})
+                sizes = np.array([len(h) for h, _, _ in found])
+                owner = np.repeat(np.arange(len(bodies)), sizes)
+                h, first, last = (np.concatenate([f[k] for f in found]) for k in range(3))
+                keys = part["key"].to_numpy()
+                for at in range(0, len(h), _RUNS):
+                    own, begin, end = owner[at:at + _RUNS], first[at:at + _RUNS], last[at:at + _RUNS]
+                    digests = b"".join([
+                        hashlib.md5(bodies[o][a:b]).digest()[:8] for o, a, b in zip(own.tolist(), begin.tolist(), (end + length).tolist(), strict=True)
+                    ])
+                    yield pd.DataFrame({
+                        "key": keys[own], "h": h[at:at + _RUNS], "c": np.frombuffer(digests, dtype="<i8"), "first": begin, "windows": end - begin + 1,
+                    })
 
     long_enough = texts.filter(utf8_length(F.col("body")) >= length)
-    return long_enough.mapInPandas(work, "key binary, h array<bigint>, first array<int>, last array<int>")
+    return long_enough.mapInPandas(work, "key binary, h bigint, c bigint, first int, windows int")
 
 
-def _contexts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """``h, c`` (hash of the context), ``key, first, windows, context`` of the anchors chosen."""
+def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h, c, windows, members, context`` of the ``runs`` wanted of every ``key``."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["h", "c", "windows", "members", "context"]
         for batch in batches:
             for part in slices(batch, batch["body"]):
-                rows = []
-                for key, body, runs in zip(part["key"], part["body"], part["runs"], strict=True):
+                rows, held = [], 0
+                for body, runs in zip(part["body"], part["runs"], strict=True):
                     data = body.encode()
                     for run in runs:
-                        first, last = run["first"], run["last"]
-                        context = data[first:last + length]
-                        rows.append((run["h"], hashlib.md5(context).digest(), key, first, last - first + 1, context))
-                yield pd.DataFrame(rows, columns=["h", "c", "key", "first", "windows", "context"])
-
-    return texts.join(chosen, "key").select("key", "body", "runs").mapInPandas(
-        work, "h bigint, c binary, key binary, first int, windows int, context binary"
+                        context = data[run["first"]:run["end"]]
+                        rows.append((run["h"], run["c"], run["windows"], run["members"], context))
+                        held += len(context)
+                        if held >= _CONTEXT_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+
+    return _with_keys(texts, wanted).select("body", "runs").mapInPandas(
+        work, "h bigint, c bigint, windows int, members bigint, context binary"
     )
 
 
@@ -332,7 +387,7 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
             yield marks(pd.concat(held, ignore_index=True))
 
     dealt = contexts.repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInPandas(work, "h bigint, c binary, runs array<struct<a:int,b:int>>")
+    return dealt.mapInPandas(work, "h bigint, c bigint, runs array<struct<a:int,b:int>>")
 
 
 def _counted_marks(contexts: DataFrame, length: int) -> DataFrame:
@@ -346,41 +401,44 @@ def _counted_marks(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(again, ["h", "w"]).select("h", "c", F.array(run).alias("runs"))
 
 
-def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) -> DataFrame:
-    """``key, ranges`` of the distinct ``texts`` with repeated windows: window starts as (first, last).
+def _joined(places: DataFrame, length: int) -> DataFrame:
+    """``key, ranges``: window starts (``key, first, last``) with those put together whose bytes touch or overlap."""
+    by = Window.partitionBy("key").orderBy("first", "last")
+    before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = places.withColumn("new", F.coalesce(F.col("first") > before + length, F.lit(True)).cast("int"))
+    runs = new.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
-    The contexts are cut out of the texts for each of their two uses instead of being written: the
-    texts are shuffled by key for it once, and the caller's join with the ranges uses that shuffle too.
-    """
+
+def repeated_ranges(texts: DataFrame, length: int = 200, crowd: int = CROWD) -> DataFrame:
+    """``key, ranges`` of the distinct ``texts`` with repeated windows: window starts as (first, last)."""
     ship(texts.sparkSession)
     table = store(_anchor_table(texts, length)).df
-    # written, so that the join meets it as a table of its own and a very common anchor can be split
-    met = store(
-        table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), most=F.max("times")
+    twice = table.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    anchor = _cell(F.col("h"))
+    met = store(table.filter(_taken(twice.select(anchor.alias("cell")))(anchor))).df
+    # a context is known by its hash; one of its places stands for it
+    distinct = store(met.groupBy("h", "c").agg(
+        F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows"), F.first(F.struct("key", "first")).alias("at")
+    )).df
+    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    compared = store(
+        distinct.join(sizes, "h").select("h", "c", "windows", "members", "at.key", "at.first"), most=F.max("members")
     )
-    again = met.df.select("h")
-    every = table.select("key", F.explode(F.arrays_zip("h", "first", "last")).alias("a")).select("key", "a.*")
-    chosen = store(
-        every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
+    end = (F.col("first") + F.col("windows") + (length - 1)).alias("end")
+    wanted = store(
+        compared.df.groupBy("key").agg(F.collect_list(F.struct("h", "c", "windows", "members", "first", end)).alias("runs"))
     ).df
-    # contexts with the texts they come from, and each distinct one once
-    found = _contexts(texts, chosen, length)
-    distinct = found.groupBy("h", "c").agg(
-        F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows"), F.first("context").alias("context")
-    )
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
-    known = distinct.join(sizes, "h").select("h", "c", "times", "windows", "context", "members")
+    contexts = _contexts(texts, wanted)
     run = F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
-    equal = known.filter("times > 1").select("h", "c", F.array(run).alias("runs"))
-    compared = known.filter("members > 1")
-    common = compared.filter(F.col("members") <= crowd).select("h", "c", "windows", "context")
+    equal = distinct.filter("times > 1").select("h", "c", F.array(run).alias("runs"))
+    common = contexts.filter(F.col("members") <= crowd).select("h", "c", "windows", "context")
     marks = equal.unionByName(_sorted_marks(common, ["h"], length))
-    if (met.stats["most"] or 0) > crowd:  # an anchor has no more contexts than places
-        marks = marks.unionByName(_counted_marks(compared.filter(F.col("members") > crowd), length))
-    placed = found.select("h", "c", "key", "first").join(marks, ["h", "c"]).select(
-        "key", "first", F.explode("runs").alias("r")
-    ).select("key", F.struct((F.col("first") + F.col("r.a")).alias("first"), (F.col("first") + F.col("r.b")).alias("last")).alias("range"))
-    return placed.groupBy("key").agg(F.collect_list("range").alias("ranges"))
+    if (compared.stats["most"] or 0) > crowd:
+        marks = marks.unionByName(_counted_marks(contexts.filter(F.col("members") > crowd), length))
+    placed = met.select("h", "c", "key", "first").join(marks, ["h", "c"]).select("key", "first", F.explode("runs").alias("r"))
+    return _joined(placed.select("key", (F.col("first") + F.col("r.a")).alias("first"), (F.col("first") + F.col("r.b")).alias("last")), length)
 
 
 def _copied(docs: DataFrame, text: str, length: int) -> DataFrame:
@@ -416,7 +474,7 @@ def _without(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
                     rows.append((key, sum(e - b for b, e in runs), len(runs), b"".join(kept)))
                 yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
 
-    return texts.join(ranges, "key").select("key", "body", "ranges").mapInPandas(
+    return _with_keys(texts, store(ranges).df).select("key", "body", "ranges").mapInPandas(
         work, "key binary, n_removed bigint, n_spans bigint, kept binary"
     )
 
