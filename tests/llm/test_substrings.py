@@ -118,5 +118,19 @@ def test_a_crowded_anchor_is_never_gathered(spark, monkeypatch):
     assert max(largest) <= 8
 
 
+def test_periodic_texts_and_few_cells(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(substrings, "_WINDOWS", 50)
+    monkeypatch.setattr(substrings, "_RUNS", 30)
+    monkeypatch.setattr(substrings, "_CONTEXT_BYTES", 500)
+    monkeypatch.setattr(substrings, "CELLS", 64)  # nearly all cells are taken: more is moved, nothing else changes
+    line = "".join(rng.choice("abcdefgh ") for _ in range(37))
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = ["a" * 700, line * 20, noise(80) + line * 3 + noise(80), noise(60) + "a" * 130 + "b", noise(150), "", noise(30) + line * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substrings.remove_repeats(docs, length=100).orderBy("doc_id").collect()
+    assert [(g.n_bytes, g.n_removed, g.n_spans, bytes(g.kept)) for g in got] == brute([t.encode() for t in texts], 100)
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0

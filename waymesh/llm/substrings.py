@@ -45,13 +45,15 @@ GRAM = 48
 #: Bytes to which the multikey quicksort goes, a multiple of eight.
 SHALLOW = 32
 #: Distinct contexts of an anchor beyond which its windows are counted one by one.
-CROWD = 20_000
+CROWD = 5_000
 #: Cells of a table of bits that tasks get, a power of two.
 CELLS = 1 << 26
 #: Runs or bytes of contexts that a task hands on at a time.
 _RUNS, _CONTEXT_BYTES = 50_000, 16_000_000
-#: Bytes of text that are hashed at a time, no more than there are places (24 bits).
-_CHUNK = 8_000_000
+#: Windows that are sorted at a time (those of one anchor together, however many they are).
+_WINDOWS = 250_000
+#: Bytes of text that are hashed at a time, no more than there are places (24 bits); hashing takes some 70 bytes a byte.
+_CHUNK = 1_000_000
 _PLACE = np.uint64(0xFFFFFF)
 # fixed values: odd multipliers of a polynomial hash and its finalizer
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -310,7 +312,7 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     """Runs of windows of one anchor: ``key, h, c, first, windows``; ``c`` is a hash of the run's context."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, batch["body"]):
+            for part in slices(batch, batch["body"], _CHUNK):
                 bodies = [b.encode() for b in part["body"]]
                 found = [text_anchors(bodies[0], length)] if len(bodies) == 1 else anchors(bodies, length)
                 sizes = np.array([len(h) for h, _, _ in found])
@@ -359,19 +361,26 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
     Partitions are sorted by anchor, so a task meets every anchor whole, and sorts the suffixes of
     many anchors together.
     """
+    def marks(part: pd.DataFrame) -> pd.DataFrame:
+        keys = part.groupby(by, sort=False).ngroup().to_numpy()
+        flags = repeated_windows(part["context"].tolist(), part["windows"].to_numpy(), keys, length)
+        rows = []
+        for h, c, flag in zip(part["h"], part["c"], flags, strict=True):
+            step = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
+            if len(step):
+                rows.append((h, c, [{"a": int(a), "b": int(b) - 1} for a, b in zip(step[::2], step[1::2], strict=True)]))
+        return pd.DataFrame(rows, columns=["h", "c", "runs"])
+
+    def bounded(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        begins = np.append(True, np.logical_or.reduce([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in by]))
+        before = np.cumsum(part["windows"].to_numpy()) - part["windows"].to_numpy()
+        bucket = np.maximum.accumulate(np.where(begins, before // _WINDOWS, 0))
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield marks(part.iloc[a:b])
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def marks(part: pd.DataFrame) -> pd.DataFrame:
-            keys = part.groupby(by, sort=False).ngroup().to_numpy()
-            flags = repeated_windows(part["context"].tolist(), part["windows"].to_numpy(), keys, length)
-            rows = []
-            for h, c, flag in zip(part["h"], part["c"], flags, strict=True):
-                step = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
-                if len(step):
-                    rows.append((h, c, [{"a": int(a), "b": int(b) - 1} for a, b in zip(step[::2], step[1::2], strict=True)]))
-            return pd.DataFrame(rows, columns=["h", "c", "runs"])
-
         for batch in batches:
             if not len(batch):
                 continue
@@ -382,9 +391,9 @@ def _sorted_marks(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
             whole = pd.concat(held, ignore_index=True)
             open_ = np.logical_and.reduce([whole[k].to_numpy() == v for k, v in zip(by, last, strict=True)])
             held = [whole[open_]]
-            yield marks(whole[~open_])
+            yield from bounded(whole[~open_])
         if held:
-            yield marks(pd.concat(held, ignore_index=True))
+            yield from bounded(pd.concat(held, ignore_index=True))
 
     dealt = contexts.repartition(*by).sortWithinPartitions(*by)
     return dealt.mapInPandas(work, "h bigint, c bigint, runs array<struct<a:int,b:int>>")
