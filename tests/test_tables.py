@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from waymesh.operators import cache, cleaning, graph, importance, steps
 from waymesh.operators.geometry import route_geometry
+from waymesh.sources import tables
 
 
 def pairs(df, *columns):
@@ -43,6 +44,23 @@ def test_merge_inserts_only_what_is_absent(spark):
     assert pairs(cleaning.merge_nodes(old, new), "id", "lon") == [(1, 1.0), (1, 2.0), (2, 1.0)]
 
 
+def test_lines_with_faults_are_kept_apart(spark, tmp_path):
+    path, rejects = tmp_path / "nodes.csv", str(tmp_path / "rejects")
+    path.write_text("note,osmid,y,x\n-,1,1.5,2.5\n-,,1,2\n-,x2,north,2\n-,3,-90.5,NaN\n-,4,1\n-,5,1,2,9\n\"a,b\",6,-90,180\n")
+    judged = {r.row: r.reasons for r in tables.judged_csv(spark, str(path), "nodes").collect()}
+    assert judged == {
+        "-,1,1.5,2.5": [], "-,,1,2": ["osmid missing"], "-,x2,north,2": ["osmid type", "y type"], "-,3,-90.5,NaN": ["y range", "x range"],
+        "-,4,1": ["fields"], "-,5,1,2,9": ["fields"], '"a,b",6,-90,180': [],
+    }
+    assert pairs(tables.load_nodes(spark, str(path), version=2, rejects=rejects), "id", "lat", "lon") == [(1, 1.5, 2.5), (6, -90.0, 180.0)]
+    assert spark.read.parquet(rejects).count() == 5
+    with pytest.raises(ValueError, match="has no column lat, lon"):
+        tables.judged_csv(spark, str(path), "nodes", 1)
+    empty = tmp_path / "empty.csv"
+    empty.write_text("osmid,y,x\n")
+    assert tables.judged_csv(spark, str(empty), "nodes").count() == 0
+
+
 def test_directed_and_simple_edges(spark):
     road = [(0.0, 1.0), (2.0, 3.0)]
     edges = spark.createDataFrame(

@@ -584,6 +584,33 @@ def load_nodes_csv(spark, folder):
     return tables.load_nodes(spark, csv, spark.read.parquet(stored), version=2)
 
 
+def _faulty_nodes(spark, folder) -> str:
+    """A CSV file of the nodes in which some lines have faults of their own."""
+    path = _fresh(spark)
+    tables.write_csv(derived.nodes(spark, folder).select(
+        F.when(F.col("id") % 11 == 3, F.concat(F.lit("n"), "id")).otherwise(F.col("id").cast("string")).alias("osmid"),
+        F.when(F.col("id") % 7 == 1, F.lit("north")).when(F.col("id") % 7 == 2, F.lit("91.5")).otherwise(F.col("lat").cast("string")).alias("y"),
+        F.when(F.col("id") % 13 != 4, F.col("lon")).alias("x"),
+    ), path)
+    return path
+
+
+@_query
+def csv_judged(spark, folder):
+    """Every line of a faulty CSV file with what is wrong with it."""
+    judged = tables.judged_csv(spark, _faulty_nodes(spark, folder), "nodes")
+    return judged.select("osmid", F.col("y").alias("lat"), F.col("x").alias("lon"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@_query
+def csv_loaded_and_rejected(spark, folder):
+    """Nodes loaded from a faulty CSV file, and beside them the counted reasons of the lines kept apart."""
+    rejects = _fresh(spark)
+    loaded = tables.load_nodes(spark, _faulty_nodes(spark, folder), version=2, rejects=rejects)
+    counted = spark.read.parquet(rejects).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    return counted.unionByName(loaded.agg(F.lit("loaded").alias("reason"), F.count(F.lit(1)).alias("lines")))
+
+
 @_query
 def load_edges_csv(spark, folder):
     """Edges of the second version from a CSV file, with their lines."""

@@ -423,6 +423,23 @@ _QUERIES: dict[str, str] = {
           union all
           select a.id + 1000000, a.id || '>' || b.id from r_nodes a join r_nodes b on b.id = a.id + 100 where a.p_size <= 5)""",
     "load_nodes_csv": "select id, lat, lon from r_nodes",
+    "csv_judged": """
+        select osmid, lat, lon, array_to_string(reasons, ',') as reasons
+        from (
+        select id, case when id % 11 <> 3 then id end as osmid,
+               case when id % 7 = 1 then null when id % 7 = 2 then 91.5::double else lat end as lat, case when id % 13 <> 4 then lon end as lon,
+               list_filter([case when id % 11 = 3 then 'osmid type' end, case when id % 7 = 1 then 'y type' when id % 7 = 2 then 'y range' end,
+                            case when id % 13 = 4 then 'x missing' end], lambda r: r is not null) as reasons
+        from r_nodes)""",
+    "csv_loaded_and_rejected": """
+        select coalesce(reason, 'loaded') as reason, count(*) as lines
+        from (select unnest(case when len(reasons) = 0 then [null] else reasons end) as reason from (
+        select id, case when id % 11 <> 3 then id end as osmid,
+               case when id % 7 = 1 then null when id % 7 = 2 then 91.5::double else lat end as lat, case when id % 13 <> 4 then lon end as lon,
+               list_filter([case when id % 11 = 3 then 'osmid type' end, case when id % 7 = 1 then 'y type' when id % 7 = 2 then 'y range' end,
+                            case when id % 13 = 4 then 'x missing' end], lambda r: r is not null) as reasons
+        from r_nodes))
+        group by all""",
     "load_edges_csv": "select u, v, oneway, cost_c, 2::int as points, lon1 as lon, lat1 as lat from r_edges",
     "stored_edges": "select u, v, cost_c from r_edges where u % 10 <> 0 and v % 10 <> 0",
     "appended_paths": "select node1, node2, cost_c, hops, path from q_cache",
