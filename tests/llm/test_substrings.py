@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.texts import documents, frame
 from waymesh.llm import substrings
-from waymesh.llm.common import slices
+from waymesh.llm.common import map_in_parts, slices
 
 
 def brute(texts, length):
@@ -134,3 +134,24 @@ def test_periodic_texts_and_few_cells(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_copies_are_folded_once(spark):
+    texts = substrings.distinct_texts(frame(spark))
+    bodies = [r.body for r in texts.collect()]
+    assert Counter(bodies) == Counter({r[1] or "" for r in documents()})
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "Aggregate" not in plan
+
+
+def test_frames_hold_few_bytes_of_text(spark):
+    rows = spark.range(50).selectExpr("id", "repeat('é', cast(id as int)) as body", "array(named_struct('a', id, 'b', id + 1)) as runs")
+
+    def work(frames):
+        for f in frames:
+            size = sum(len(b.encode()) for b in f["body"])
+            yield pd.DataFrame({"id": f["id"], "own": [len(f)] * len(f), "size": [size] * len(f), "runs": [list(r) for r in f["runs"]]})
+
+    got = map_in_parts(rows, work, "id bigint, own bigint, size bigint, runs array<struct<a:bigint,b:bigint>>", 200).collect()
+    assert sorted(g.id for g in got) == list(range(50)) and all(g.runs[0].b == g.id + 1 for g in got)
+    assert all(g.size < 400 or g.own == 1 for g in got)

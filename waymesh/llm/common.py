@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,3 +44,28 @@ def slices(batch: pd.DataFrame, texts: pd.Series, most: int = 4_000_000) -> Iter
         total += octets
     if begin < len(batch):
         yield batch.iloc[begin:]
+
+
+def arrow_parts(batch: pa.RecordBatch, most: int, text: str = "body") -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of about ``most`` bytes of text, without copies; a longer row comes alone."""
+    part = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
+def map_in_parts(
+    rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, most: int, text: str = "body",
+) -> DataFrame:
+    """``mapInPandas`` that turns about ``most`` bytes of text at a time into a frame, not a whole Arrow batch.
+
+    Lists of structs become one Python object per field, so whole batches of them take many times their size.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (part.to_pandas() for batch in batches for part in arrow_parts(batch, most, text))
+        for out in work(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+    return rows.mapInArrow(run, schema)

@@ -39,11 +39,14 @@ def suspects(docs: DataFrame, text: str = "text", prefix: int = PREFIX) -> DataF
     return pairs.filter("n_rows > 1").join(lengths, "length", "left_semi").select("length", "head", F.lit(True).alias("again"))
 
 
+def _measured(rows: DataFrame, prefix: int) -> DataFrame:
+    return rows.withColumns({"length": utf8_length(F.col("body")), "head": F.xxhash64(F.left("body", F.lit(prefix)))})
+
+
 def _third_level(rows: DataFrame, text: str, prefix: int) -> DataFrame:
     """``rows`` (a struct ``row`` and ``body``) with ``length`` and, for suspects only, the ``full`` hash."""
-    marked = rows.withColumns({"length": utf8_length(F.col("body")), "head": F.xxhash64(F.left("body", F.lit(prefix)))})
     groups = small(suspects(rows.select(F.col("body").alias(text)), text, prefix))
-    return marked.join(groups, ["length", "head"], "left").withColumn(
+    return _measured(rows, prefix).join(groups, ["length", "head"], "left").withColumn(
         "full", F.when(F.col("again"), F.sha2(F.col("body"), 256))
     )
 
@@ -83,12 +86,22 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix:
     Rows outside the suspect groups pass straight through. Of the others one row per text is
     chosen with map-side aggregation, so copies are folded before they move.
     """
-    columns = docs.columns
-    fields = F.struct(*[F.col(f"`{c}`") for c in columns])
+    alone, chosen = alone_and_chosen(docs, id, text, prefix)
+    return alone.unionByName(chosen)
+
+
+def alone_and_chosen(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
+    """The two parts of :func:`drop_copies`: rows outside the suspect groups, and one row per text of the others.
+
+    Who uses the result several times may write the second part, so that copies are folded only once.
+    """
+    fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(fields.alias("row"), text_of(text).alias("body"))
-    levels = _third_level(rows, text, prefix)
+    marked = _measured(rows, prefix)
+    groups = small(suspects(rows.select(F.col("body").alias(text)), text, prefix))
+    alone = marked.join(groups, ["length", "head"], "left_anti").select("row.*")
+    again = marked.join(groups, ["length", "head"], "left_semi").withColumn("full", F.sha2(F.col("body"), 256))
     # every other column takes part in the order, so the choice among equal ids is the same each time
     order = F.struct(F.col(f"row.`{id}`").alias("id"), F.xxhash64("row").alias("tie"), F.col("row").alias("row"))
-    alone = levels.filter("full is null").select("row.*")
-    chosen = levels.filter("full is not null").groupBy("length", "full").agg(F.max(order).alias("best"))
-    return alone.unionByName(chosen.select("best.row.*"))
+    chosen = again.groupBy("length", "full").agg(F.max(order).alias("best"))
+    return alone, chosen.select("best.row.*")

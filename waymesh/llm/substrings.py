@@ -36,8 +36,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import slices, text_key, text_of, utf8_length
-from waymesh.llm.exact import drop_copies
+from waymesh.llm.common import map_in_parts, slices, text_key, text_of, utf8_length
+from waymesh.llm.exact import alone_and_chosen
 from waymesh.runtime import ship, store
 
 #: Length of the k-grams whose hashes choose anchors.
@@ -49,7 +49,7 @@ CROWD = 5_000
 #: Cells of a table of bits that tasks get, a power of two.
 CELLS = 1 << 26
 #: Runs or bytes of contexts that a task hands on at a time.
-_RUNS, _CONTEXT_BYTES = 50_000, 16_000_000
+_RUNS, _CONTEXT_BYTES = 50_000, 4_000_000
 #: Windows that are sorted at a time (those of one anchor together, however many they are).
 _WINDOWS = 250_000
 #: Bytes of text that are hashed at a time, no more than there are places (24 bits); hashing takes some 70 bytes a byte.
@@ -272,9 +272,10 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, group: np.ndarr
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``key, body``: every text once."""
+    """``key, body``: every text once. It is read several times, so copies are folded before: once, and only theirs are written."""
     bodies = docs.select(F.lit(0).alias("id"), text_of(text).alias("body"))
-    return drop_copies(bodies, "id", "body").select(text_key(F.col("body")).alias("key"), "body")
+    alone, chosen = alone_and_chosen(bodies, "id", "body")
+    return alone.unionByName(store(chosen).df).select(text_key(F.col("body")).alias("key"), "body")
 
 
 def _taken(cells: DataFrame):
@@ -329,7 +330,7 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
                     })
 
     long_enough = texts.filter(utf8_length(F.col("body")) >= length)
-    return long_enough.mapInPandas(work, "key binary, h bigint, c bigint, first int, windows int")
+    return map_in_parts(long_enough, work, "key binary, h bigint, c bigint, first int, windows int", _CHUNK)
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -350,8 +351,8 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns)
 
-    return _with_keys(texts, wanted).select("body", "runs").mapInPandas(
-        work, "h bigint, c bigint, windows int, members bigint, context binary"
+    return map_in_parts(
+        _with_keys(texts, wanted).select("body", "runs"), work, "h bigint, c bigint, windows int, members bigint, context binary", _CHUNK
     )
 
 
@@ -483,8 +484,9 @@ def _without(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
                     rows.append((key, sum(e - b for b, e in runs), len(runs), b"".join(kept)))
                 yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
 
-    return _with_keys(texts, store(ranges).df).select("key", "body", "ranges").mapInPandas(
-        work, "key binary, n_removed bigint, n_spans bigint, kept binary"
+    return map_in_parts(
+        _with_keys(texts, store(ranges).df).select("key", "body", "ranges"), work,
+        "key binary, n_removed bigint, n_spans bigint, kept binary", _CHUNK,
     )
 
 
