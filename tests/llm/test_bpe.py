@@ -77,3 +77,16 @@ def test_random_words_of_few_letters(tool, encoding):
     rng = random.Random(10)
     words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for letters in ("ab", "-=", "ést", "ing ", "漢字a") for _ in range(60)]
     assert tool.encode(words) == [packed(encoding.encode_ordinary(w)) for w in words]
+
+
+def test_memory_left_by_earlier_tasks_is_given_back():
+    def resident():
+        with open("/proc/self/statm") as lines:
+            return int(lines.read().split()[1]) * 4096
+
+    held = [bytes(2_000) for _ in range(100_000)]
+    last = bytes(3_000)  # keeps the end of the heap in use
+    del held
+    before = resident()
+    bpe._give_back()
+    assert resident() < before - 100_000_000 and len(last) == 3_000

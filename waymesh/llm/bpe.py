@@ -26,17 +26,18 @@ are encoded alike. Special tokens are ordinary text. Other columns play no part.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import text_of
+from waymesh.llm.common import arrow_parts, text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
@@ -268,16 +269,19 @@ def codec(path: str, pattern: str) -> Codec:
     """The process's codec for a vocabulary: built once, used by all its tasks."""
     key = (path, pattern)
     if key not in _codecs:
+        _give_back()  # what the process's earlier tasks, of other stages, left behind
         _codecs[key] = Codec(path, pattern)
+        _give_back()  # what building the table of pairs took
     return _codecs[key]
 
 
-def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """An Arrow batch in parts of about ``most`` bytes of text, without copies; a longer row comes alone."""
-    part = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False).astype(np.int64)) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(begin, end - begin)
+def _give_back() -> None:
+    """Return free memory of this process to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +289,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
         for batch in batches:
-            for part in _parts(batch, SLICE_BYTES):
+            for part in arrow_parts(batch, SLICE_BYTES):
                 ids = tool.encode(part.column("body").to_pylist())
                 columns = [part.column("id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
