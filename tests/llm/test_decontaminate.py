@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.llm.texts import SCHEMA, documents, frame, prose
 from waymesh.llm import decontaminate
 from waymesh.llm.queries import all_queries
@@ -107,3 +109,19 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(docs, none).count() == 0
     assert decontaminate.without_items(docs, none).count() == docs.count()
     assert spark.createDataFrame([], SCHEMA).columns == decontaminate.without_items(frame(spark, []), none).columns
+
+
+def test_texts_without_a_shingle_of_an_item_are_not_sketched(spark, monkeypatch):
+    whole = decontaminate.block_minima
+
+    def guarded(shingles, u, bins):
+        sketched = F.raise_error(F.lit("a clean text is sketched")).cast("array<bigint>")
+        return F.when(F.size(shingles) <= 100, whole(shingles, u, bins)).otherwise(sketched)
+
+    monkeypatch.setattr(decontaminate, "block_minima", guarded)
+    item = " ".join(f"item{k}" for k in range(20))
+    docs = [(1, " ".join(f"clean{k}" for k in range(500))), (2, f"before it {item} behind it"), (3, None), (None, f"before it {item} behind it")]
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), per_text=True
+    )
+    assert sorted((r.doc_id or 0, r.item_id, r.shared) for r in found.collect()) == [(0, 7, 16), (2, 7, 16)]

@@ -135,6 +135,14 @@ def contained_items(
     sketches = small(known.select("item", "u", F.explode(own if classes else empty).alias("least")))
     body = text_of(text)
     texts = docs.select(text_key(body).alias("key"), shingle_hashes(words_of(body), n).alias("shingles"))
+    # a block can only share a minimum with an item if the text has a shingle of that hash: all other texts need no sketch
+    least = small(sketches.select("least").distinct())
+    hit = texts.select("key", F.explode("shingles").alias("least")).join(least, "least", "left_semi").select("key").distinct()
+    texts = (
+        docs.select(text_key(body).alias("key"), body.alias("body")).join(small(hit), "key", "left_semi")
+        .groupBy("key").agg(F.first("body").alias("body"))
+        .select("key", shingle_hashes(words_of(F.col("body")), n).alias("shingles"))
+    )
     minima = texts.select("key", F.explode(all_minima).alias("m"))
     candidates = store(
         minima.select("key", "m.u", "m.least").join(sketches, ["u", "least"]).select("key", "item").distinct()
