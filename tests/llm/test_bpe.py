@@ -5,6 +5,7 @@ import struct
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -90,3 +91,37 @@ def test_memory_left_by_earlier_tasks_is_given_back():
     before = resident()
     bpe._give_back()
     assert resident() < before - 100_000_000 and len(last) == 3_000
+
+
+def test_minima_of_words_come_from_groups(tool):
+    """No window per word: each round would sort all rows by word once more."""
+    start = pa.table({"word": pa.array([0], pa.int32()), "pos": pa.array([0], pa.int32()), "token": pa.array([0], pa.int32())})  # noqa: F841
+    plan = tool.db.execute("explain " + bpe._ENCODE).fetchall()[0][1].upper()
+    assert "PARTITION BY" not in plan
+
+
+def test_table_of_pairs(tool):
+    """Against the joins in its definition, on a vocabulary of random tokens."""
+    rng = random.Random(7)
+    words = {bytes([b]) for b in range(256)} | {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(300)}
+    own = bpe.Codec.__new__(bpe.Codec)
+    own.ranks = {t: k for k, t in enumerate(sorted(words, key=lambda t: (len(t), t)))}
+    own.db = tool.db.cursor()
+    own.db.execute("create schema small")
+    own.db.execute("use small")
+    own._pairs()
+    made = [(own.ranks[t[:k]], own.ranks[t[k:]], r) for t, r in own.ranks.items() for k in range(1, len(t)) if t[:k] in own.ranks and t[k:] in own.ranks]
+    want = {}
+    for a, b, r in made:
+        left, right = (next(t for t, k in own.ranks.items() if k == x) for x in (a, b))
+        for name, pairs in (
+            ("merged", [(a, b)]),
+            ("left", [(own.ranks[left[k:]], b) for k in range(len(left)) if left[k:] in own.ranks]),
+            ("right", [(a, own.ranks[right[:k]]) for k in range(1, len(right) + 1) if right[:k] in own.ranks]),
+        ):
+            for x, y in pairs:
+                at = want.setdefault(x * 65536 + y, {})
+                at[name] = min(r, at.get(name, r))
+    got = own.db.execute("select pair, merged, from_left, from_right from pairs").fetchall()
+    assert {p: tuple(v) for p, *v in got} == {p: (w.get("merged"), w.get("left"), w.get("right")) for p, w in want.items()}
+    assert {t for t, in own.db.execute("select token from stepwise").fetchall()} == {t for a, b, r in made for t in (a, b) if r < t}

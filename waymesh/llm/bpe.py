@@ -32,7 +32,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +56,12 @@ QUERY_TOKENS = 200_000
 # place between the two tokens can still vanish while its right or left token stays as it is (``never``: at no rank);
 # the last row of a word has no pair, so ``lag`` sees a closed place before the first row of the next word.
 _STEP = """
-    select w.word, w.pos, w.token, w.opens, m.merged, coalesce(m.from_left, {never}), coalesce(m.from_right, {never}),
-           min(m.merged::bigint << 32 | w.pos) over (partition by word)
-    from {rows} w left join pairs m on m.pair = w.pair
+    (with met as materialized (
+        select w.word, w.pos, w.token, w.opens, m.merged, coalesce(m.from_left, {never}) as from_left, coalesce(m.from_right, {never}) as from_right
+        from {rows} w left join pairs m on m.pair = w.pair
+    )
+    select met.*, least.best
+    from met left join (select word, min(merged::bigint << 32 | pos) as best from met where merged is not null group by word) least on least.word = met.word)
 """
 _NEVER = 2147483647
 _REACH = 4  # places looked at on either side of a pair
@@ -156,19 +158,40 @@ class Codec:
                     parts.extend((rank, left, 1))
                 if right is not None:
                     parts.extend((rank, right, 0))
-        made = pd.DataFrame(np.array(joined, dtype=np.int64).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
-        part = pd.DataFrame(np.array(parts, dtype=np.int32).reshape(-1, 3), columns=["token", "part", "front"])  # noqa: F841
-        self.db.execute(
-            "create table pairs as select pair, min(made)::integer as merged, min(l)::integer as from_left, min(r)::integer as from_right from ("
-            "select a * 65536 + b as pair, merged as made, null as l, null as r from made union all "
-            "select part::bigint * 65536 + b, null, merged, null from made join part on token = a and front = 0 union all "
-            "select a * 65536 + part::bigint, null, null, merged from made join part on token = b and front = 1) group by pair"
-        )
+        a, b, made = np.frombuffer(joined, dtype=np.int32).astype(np.int64).reshape(-1, 3).T
+        token, part, front = np.frombuffer(parts, dtype=np.int32).reshape(-1, 3).T
+
+        def with_parts(of: np.ndarray, at_front: int) -> tuple[np.ndarray, np.ndarray]:
+            """For each row of ``made`` every part of its token ``of``: the row and the part."""
+            own = np.flatnonzero(front == at_front)
+            own = own[np.argsort(token[own], kind="stable")]
+            first, behind = (np.searchsorted(token[own], of, side) for side in ("left", "right"))
+            n = behind - first
+            return np.repeat(np.arange(len(of)), n), part[own[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+
+        def lowest(pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by = np.lexsort((rank, pair))
+            pair, rank = pair[by], rank[by]
+            new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, dtype=bool)
+            return pair[new], rank[new].astype(np.int32)
+
+        row, end = with_parts(a, 0)
+        left = lowest(end.astype(np.int64) * 65536 + b[row], made[row])
+        row, begin = with_parts(b, 1)
+        right = lowest(a[row] * 65536 + begin, made[row])
+        merged = lowest(a * 65536 + b, made)
+        every = np.unique(np.concatenate([left[0], right[0], merged[0]]))
+        columns = {"pair": pa.array(every)}
+        for name, (pair, rank) in (("merged", merged), ("from_left", left), ("from_right", right)):
+            value, missing = np.zeros(len(every), dtype=np.int32), np.ones(len(every), dtype=bool)
+            at = np.searchsorted(every, pair)
+            value[at], missing[at] = rank, False
+            columns[name] = pa.array(value, mask=missing)
+        found = pa.table(columns)  # noqa: F841
+        self.db.execute("create table pairs as select * from found")
         # tokens that could join a neighbour at a lower rank than their own
-        self.db.execute(
-            "create table stepwise as select distinct token::bigint as token from (select a as token, merged from made "
-            "union all select b, merged from made) where merged < token"
-        )
+        alone = pa.table({"token": pa.array(np.unique(np.concatenate([a[made < a], b[made < b]])))})  # noqa: F841
+        self.db.execute("create table stepwise as select * from alone")
 
     def _allow(self, beyond: int) -> None:
         """Memory for a query that is ``beyond`` bytes larger than the usual ones."""
@@ -181,7 +204,7 @@ class Codec:
         """The ids of some pieces by their numbers: one recursive query."""
         sizes = np.array([len(p) for p in pieces])
         self._allow(int(sizes.sum()) - QUERY_BYTES)
-        start = pd.DataFrame({  # noqa: F841
+        start = pa.table({  # noqa: F841
             "word": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
             "pos": np.arange(sizes.sum(), dtype=np.int32),
             "token": self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)],
@@ -228,11 +251,14 @@ class Codec:
         needed: set[str] = set()
         for pieces in cut:
             needed.update(pieces)
-        known = {p: self.seen[p] for p in needed if p in self.seen}
-        known |= self.learn(needed - known.keys())
-        if len(self.seen) < MEMORY_PIECES:  # the frequent pieces come early; later ones are rare
-            self.seen |= {p: ids for p, ids in known.items() if len(p) <= MEMORY_BYTES}
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        new = self.learn(needed.difference(self.seen))
+        room = len(self.seen) < MEMORY_PIECES  # the frequent pieces come early; later ones are rare
+        self.seen |= new
+        found = [b"".join(map(self.seen.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if not room or len(piece) > MEMORY_BYTES:
+                del self.seen[piece]
+        return found
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """The bytes of every list of ids."""
@@ -244,7 +270,7 @@ class Codec:
                 part = packed[first:k + 1]
                 self._allow(tokens - QUERY_TOKENS)
                 sizes = np.array([len(p) // 4 for p in part])
-                ids = pd.DataFrame({  # noqa: F841
+                ids = pa.table({  # noqa: F841
                     "doc": np.repeat(np.arange(first, k + 1, dtype=np.int32), sizes),
                     "pos": np.arange(sizes.sum(), dtype=np.int32),
                     "id": np.frombuffer(b"".join(part), dtype="<u4").astype(np.int32),
