@@ -49,5 +49,5 @@ def test_stages_keep_the_columns(spark):
 
 def test_all_ten_are_registered():
     names = queries.all_queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(oracles.all_oracles()) <= set(names) and os.path.exists(SMALL)
