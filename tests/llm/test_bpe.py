@@ -125,3 +125,27 @@ def test_table_of_pairs(tool):
     got = own.db.execute("select pair, merged, from_left, from_right from pairs").fetchall()
     assert {p: tuple(v) for p, *v in got} == {p: (w.get("merged"), w.get("left"), w.get("right")) for p, w in want.items()}
     assert {t for t, in own.db.execute("select token from stepwise").fetchall()} == {t for a, b, r in made for t in (a, b) if r < t}
+
+
+def test_every_task_gives_back_what_other_stages_left(monkeypatch):
+    """A worker that built its codec in an earlier run comes from other stages again."""
+    given = []
+    monkeypatch.setattr(bpe, "_codecs", {})
+    monkeypatch.setattr(bpe, "_give_back", lambda: given.append(len(bpe._codecs)))
+    first = bpe.codec(PATH, public_tokenizers.PATTERN)
+    begun = len(given)
+    assert bpe.codec(PATH, public_tokenizers.PATTERN) is first
+    assert len(given) > begun
+
+
+def test_new_pieces_are_merged_in_small_queries(monkeypatch):
+    """600,000 bytes of different words: no query works on more than 125,000 of them."""
+    sizes = []
+    merge = bpe.Codec._merge
+    monkeypatch.setattr(bpe.Codec, "_merge", lambda self, pieces: sizes.append(sum(map(len, pieces))) or merge(self, pieces))
+    tool = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfgkmpqvxz") for _ in range(11)) for _ in range(50_000)]
+    text = " ".join(words)
+    assert tool.decode(tool.encode([text])) == [text.encode()]
+    assert len(sizes) > 1 and max(sizes) <= 125_000

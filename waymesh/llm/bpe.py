@@ -40,15 +40,15 @@ from waymesh.llm.common import arrow_parts, text_of
 from waymesh.runtime import ship
 
 #: Pieces whose ids a process remembers, and the bytes of the longest piece that is remembered.
-MEMORY_PIECES, MEMORY_BYTES = 500_000, 64
+MEMORY_PIECES, MEMORY_BYTES = 250_000, 64
 #: Bytes of text that are cut into pieces at a time (a single longer text goes alone).
-SLICE_BYTES = 1_400_000
+SLICE_BYTES = 700_000
 #: Bytes of new pieces that one recursive query works on (a single longer piece goes alone).
-QUERY_BYTES = 250_000
+QUERY_BYTES = 125_000
 #: Memory of a query; one on a single longer piece or document may take `LONG_BYTES` more per byte beyond the usual.
 QUERY_MB, LONG_BYTES = 300, 1_000
 #: Tokens that one decoding query works on (a single longer document goes alone).
-QUERY_TOKENS = 200_000
+QUERY_TOKENS = 100_000
 
 # ``pair`` is a token and the one behind it, ``rank`` that of the token they make, ``best`` the minimum rank of a
 # word's pairs with the leftmost position of it in its lower half; ``nth`` counts from the last row that is no hit, so
@@ -294,8 +294,8 @@ _codecs: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     """The process's codec for a vocabulary: built once, used by all its tasks."""
     key = (path, pattern)
+    _give_back()  # what the process's earlier tasks, of other stages, left behind
     if key not in _codecs:
-        _give_back()  # what the process's earlier tasks, of other stages, left behind
         _codecs[key] = Codec(path, pattern)
         _give_back()  # what building the table of pairs took
     return _codecs[key]
@@ -319,6 +319,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", t
                 ids = tool.encode(part.column("body").to_pylist())
                 columns = [part.column("id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
+                del ids, columns
+                pa.default_memory_pool().release_unused()  # what the queries' results took
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id}`").alias("id"), text_of(text).alias("body"))
